@@ -1,8 +1,10 @@
 """Ordered computations that stay parallel when one key holds a large share of the rows.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key in one task.  Here a key is first cut
-into blocks that are contiguous in the sort order; the window runs per (key, block), and what the
-earlier blocks contribute is a small aggregate (one row per block) that is joined back.
+``Window.partitionBy(key)`` puts every row of a key in one task.  That is the cheapest plan while the
+largest key fits a task, so ``split_if_hot`` checks the key sizes first (a narrow scan with map-side
+counts).  When a key is larger, it is cut into blocks that are contiguous in the sort order: the window
+runs per (key, block), and what the earlier blocks contribute is a small aggregate (one row per block)
+that is joined back.  Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ROWS_PER_BLOCK = 1 << 16
+from threadloom.functions.checkpoints import cut
+
+ROWS_PER_TASK = 4_000_000
 SECONDS_PER_BLOCK = 3600
 
 BLOCK = "_block"
@@ -46,7 +50,7 @@ def following(value: Column) -> Running:
     return Running("last", value, inclusive=False, reverse=True)
 
 
-def index_block(column: Column, size: int = ROWS_PER_BLOCK) -> Column:
+def index_block(column: Column, size: int = ROWS_PER_TASK) -> Column:
     """Blocks for a dense integer order such as a turn or line number."""
     return F.floor(column / F.lit(size)).cast("bigint")
 
@@ -62,28 +66,53 @@ def _fold(kind: str, value: Column) -> Column:
     return {"sum": F.sum, "min": F.min, "max": F.max}[kind](value)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], block: Column, **columns: Running) -> DataFrame:
+def split_if_hot(df: DataFrame, keys: list[str], block: Column, rows_per_task: int = ROWS_PER_TASK) -> Column | None:
+    """``block`` when some key has more rows than a task should take, else None (no split needed)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return None if sizes.filter(F.col("_n") > rows_per_task).isEmpty() else block
+
+
+def settle(df: DataFrame, block: Column | None) -> DataFrame:
+    """Between two split passes: cut the lineage, since a split pass reads its input twice."""
+    return df if block is None else cut(df)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], block: Column | None, **columns: Running) -> DataFrame:
     """Add running values over ``keys`` sorted by ``order``.
 
-    ``block`` must not decrease along ``order``; any such choice gives the same result.
+    ``block`` is None for one window per key, else a column that does not decrease along ``order``;
+    any such choice gives the same result.
     """
+    if block is None:
+        return df.withColumns({n: _whole(c, keys, order) for n, c in columns.items()})
+    return _blocked(df, keys, order, block, columns)
+
+
+def _ordering(names: list[str], reverse: bool) -> list[Column]:
+    return [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
+
+
+def _whole(c: Running, keys: list[str], order: list[str]) -> Column:
+    frame = W.partitionBy(*keys).orderBy(*_ordering(order, c.reverse))
+    value = _fold(c.kind, c.value).over(frame.rowsBetween(W.unboundedPreceding, 0 if c.inclusive else -1))
+    return F.coalesce(value, F.lit(0)) if c.kind == "sum" else value
+
+
+def _blocked(df, keys, order, block, columns) -> DataFrame:
     blocked = df.withColumn(BLOCK, block).withColumns({f"_v_{n}": c.value for n, c in columns.items()})
     inner = [*keys, BLOCK]
 
-    def ordering(names, reverse):
-        return [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
-
     local, totals, carried = {}, [], {}
     for name, c in columns.items():
         v = F.col(f"_v_{name}")
-        frame = W.partitionBy(*inner).orderBy(*ordering(order, c.reverse))
+        frame = W.partitionBy(*inner).orderBy(*_ordering(order, c.reverse))
         local[f"_l_{name}"] = _fold(c.kind, v).over(frame.rowsBetween(W.unboundedPreceding, 0 if c.inclusive else -1))
         if c.kind == "last":
             pick = F.min_by if c.reverse else F.max_by
             totals.append(pick(v, F.when(v.isNotNull(), F.struct(*order))).alias(f"_t_{name}"))
         else:
             totals.append(_fold(c.kind, v).alias(f"_t_{name}"))
-        outer = W.partitionBy(*keys).orderBy(*ordering([BLOCK], c.reverse)).rowsBetween(W.unboundedPreceding, -1)
+        outer = W.partitionBy(*keys).orderBy(*_ordering([BLOCK], c.reverse)).rowsBetween(W.unboundedPreceding, -1)
         carried[f"_c_{name}"] = _fold(c.kind, F.col(f"_t_{name}")).over(outer)
 
     summary = blocked.groupBy(*inner).agg(*totals).withColumns(carried)
@@ -106,7 +135,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, **c
     return joined.select(*[c for c in df.columns if c not in columns], *results)
 
 
-def stack_depth(df: DataFrame, keys: list[str], order: list[str], block: Column, step: Column) -> DataFrame:
+def stack_depth(df: DataFrame, keys: list[str], order: list[str], block: Column | None, step: Column) -> DataFrame:
     """Add ``depth_before`` / ``depth_after`` of a stack; a pop on an empty stack is ignored.
 
     ``step`` is +1 for a push, -1 for a pop and 0 otherwise.  The ignored pops are the new minima of
@@ -114,7 +143,7 @@ def stack_depth(df: DataFrame, keys: list[str], order: list[str], block: Column,
     """
     summed = running(df.withColumn("_step", step.cast("bigint")), keys, order, block, _sum=Running("sum", F.col("_step")))
     low = running(
-        summed, keys, order, block,
+        settle(summed, block), keys, order, block,
         _low=Running("min", F.col("_sum")),
         _low_before=Running("min", F.col("_sum"), inclusive=False),
     )

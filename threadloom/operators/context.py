@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.ordered import ROWS_PER_BLOCK, Running, count_rows, index_block, previous, running
+from threadloom.functions.ordered import (
+    ROWS_PER_TASK, Running, count_rows, index_block, previous, running, settle, split_if_hot,
+)
 from threadloom.functions.text import strip, word_count
 
 
@@ -14,26 +16,26 @@ def drop_blank(messages: DataFrame, content: str = "text") -> DataFrame:
     return messages.filter(F.length(strip(F.col(content))) > 0)
 
 
-def with_runs(conv: DataFrame, key: str = "conv_id", order: str = "turn", block_size: int = ROWS_PER_BLOCK) -> DataFrame:
+def with_runs(conv: DataFrame, key: str = "conv_id", order: str = "turn", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``run_start``, the turn that opens the run of same-role turns a turn belongs to.
 
     A marked turn closes its run unless it opened it by changing the role; the first turn of a
     conversation and a turn after a closed run close at once.
     """
-    block = index_block(F.col(order), block_size)
+    block = split_if_hot(conv, [key], index_block(F.col(order), rows_per_task), rows_per_task)
     prev = running(conv, [key], [order], block, _prev=previous(F.struct("role", "marked")))
     same = F.col("_prev").isNotNull() & F.col("_prev.role").eqNullSafe(F.col("role"))
     closing = F.coalesce(F.col("marked"), F.lit(False)) & (F.col("_prev").isNull() | same)
     closed = prev.withColumn("_same", same).withColumn("_closes", closing)
-    closed = running(closed, [key], [order], block, _prev_closes=previous(F.col("_closes")))
+    closed = running(settle(closed, block), [key], [order], block, _prev_closes=previous(F.col("_closes")))
     opens = ~F.col("_same") | F.coalesce(F.col("_prev_closes"), F.lit(False))
     started = closed.withColumn("_opens_at", F.when(opens, F.col(order)))
-    return running(started, [key], [order], block, run_start=Running("last", F.col("_opens_at"))).drop(
+    return running(settle(started, block), [key], [order], block, run_start=Running("last", F.col("_opens_at"))).drop(
         "_prev", "_same", "_closes", "_prev_closes", "_opens_at"
     )
 
 
-def merge_runs(conv: DataFrame, key: str = "conv_id", order: str = "turn", block_size: int = ROWS_PER_BLOCK) -> DataFrame:
+def merge_runs(conv: DataFrame, key: str = "conv_id", order: str = "turn", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Merge adjacent turns of one role into one, joined by a blank line.
 
     Needs ``role``, ``text`` and, for closing runs early, a boolean ``marked``.  Text is joined per
@@ -41,13 +43,13 @@ def merge_runs(conv: DataFrame, key: str = "conv_id", order: str = "turn", block
     """
     if "marked" not in conv.columns:
         conv = conv.withColumn("marked", F.lit(False))
-    runs = with_runs(conv.select(key, order, "role", "text", "marked"), key, order, block_size)
+    runs = with_runs(conv.select(key, order, "role", "text", "marked"), key, order, rows_per_task)
 
     def join_texts(at: str):
         texts = F.transform(F.array_sort(F.collect_list(F.struct(at, "text"))), lambda x: x["text"])
         return F.array_join(texts, "\n\n")
 
-    pieces = runs.groupBy(key, "run_start", index_block(F.col(order), block_size).alias("_at")).agg(
+    pieces = runs.groupBy(key, "run_start", index_block(F.col(order), rows_per_task).alias("_at")).agg(
         join_texts(order).alias("text"),
         F.first("role").alias("role"),
         F.bool_or(F.coalesce("marked", F.lit(False))).alias("marked"),
@@ -73,14 +75,15 @@ def short_user(text: Column) -> Column:
 
 def compact_history(
     conv: DataFrame, keep_assistant: int = 2, key: str = "conv_id", order: str = "turn",
-    instruction: str | None = None, block_size: int = ROWS_PER_BLOCK,
+    instruction: str | None = None, rows_per_task: int = ROWS_PER_TASK, sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the last assistant turns and the last user turn in full, shorten the other ones.
 
     ``keep_assistant=0`` keeps every assistant turn.  Other roles are never shortened.  A user turn
     is shortened to its ``instruction`` column, or to its first line when there is none.
+    ``sized_by`` is a cheaper frame with at least as many rows per key, used to check the key sizes.
     """
-    block = F.struct(index_block(F.col(order), block_size))
+    block = split_if_hot(conv if sized_by is None else sized_by, [key, "role"], index_block(F.col(order), rows_per_task), rows_per_task)
     ranked = running(conv, [key, "role"], [order], block, _from_end=count_rows(reverse=True))
     assistant_full = F.lit(True) if keep_assistant == 0 else F.col("_from_end") <= keep_assistant
     full = (
@@ -98,11 +101,12 @@ def compact_history(
     )
 
 
-def cap_markers(conv: DataFrame, n: int = 3, key: str = "conv_id", order: str = "turn", block_size: int = ROWS_PER_BLOCK) -> DataFrame:
+def cap_markers(conv: DataFrame, n: int = 3, key: str = "conv_id", order: str = "turn", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Only the last ``n`` marked turns keep their mark; system turns always keep it."""
     mark = F.coalesce(F.col("marked"), F.lit(False))
+    block = split_if_hot(conv, [key], index_block(F.col(order), rows_per_task), rows_per_task)
     ranked = running(
-        conv, [key], [order], index_block(F.col(order), block_size),
+        conv, [key], [order], block,
         _rank=Running("sum", mark.cast("bigint"), reverse=True),
     )
     return ranked.withColumn("marked", mark & ((F.col("_rank") <= n) | (F.col("role") == "system"))).drop("_rank")
@@ -121,14 +125,14 @@ def conversation_tokens(
 
 
 def session_context(
-    frames: DataFrame, messages: DataFrame, key: str = "conv_id", order: str = "turn", block_size: int = ROWS_PER_BLOCK,
+    frames: DataFrame, messages: DataFrame, key: str = "conv_id", order: str = "turn", rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Position of every message in the session context: top-level messages first, then frame by frame.
 
     ``frames(key, frame, depth)`` is joined on the frame name; a message without a frame is top level.
     """
     placed = messages.join(frames, [key, "frame"], "left").withColumn("depth", F.coalesce("depth", F.lit(-1)))
-    block = F.struct("depth", index_block(F.col(order), block_size))
+    block = split_if_hot(messages, [key], F.struct("depth", index_block(F.col(order), rows_per_task)), rows_per_task)
     return running(placed, [key], ["depth", order], block, position=count_rows())
 
 

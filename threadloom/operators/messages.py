@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.ordered import ROWS_PER_BLOCK, Running, count_rows, index_block, running
+from threadloom.functions.ordered import (
+    ROWS_PER_TASK, Running, count_rows, index_block, running, settle, split_if_hot,
+)
 from threadloom.functions.skew import salted_join
 from threadloom.functions.text import meeting_tag, parse_entity, strip
 
 # Fixed value: the text of the marker that ends a batch.
-END_MARKER = "EOM"
+END_MARKER = "<eom>"
 # Fixed value: class name of human agents.
 HUMAN_KLASS = "HumanAgent"
 
@@ -163,12 +165,13 @@ def classify_channels(members: DataFrame) -> DataFrame:
     )
 
 
-def group_agents(agents: DataFrame, block: Column | None = None) -> DataFrame:
+def group_agents(agents: DataFrame, block: Column | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Agents by class: the position of each agent in its class and the size of the class.
 
     One row per agent instead of one list per class, so a very large class stays spread out.
     """
-    block = index_block(F.col("agent_id")) if block is None else block
+    block = index_block(F.col("agent_id"), rows_per_task) if block is None else block
+    block = split_if_hot(agents, ["klass"], block, rows_per_task)
     return running(
         agents.select("klass", "agent_id"), ["klass"], ["agent_id"], block,
         position=count_rows(), _after=count_rows(inclusive=False, reverse=True),
@@ -180,9 +183,10 @@ def drop_already_streamed(messages: DataFrame, streams: DataFrame, salts: int =
     return salted_join(messages, streams.select("stream_id").distinct(), ["stream_id"], "left_anti", salts)
 
 
-def unread(messages: DataFrame, cursors: DataFrame, block_size: int = ROWS_PER_BLOCK) -> DataFrame:
+def unread(messages: DataFrame, cursors: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Messages after each reader's last index.  A reader without a cursor has read nothing."""
-    indexed = running(messages, ["channel_id"], ["seq"], index_block(F.col("seq"), block_size), _n=count_rows())
+    block = split_if_hot(messages, ["channel_id"], index_block(F.col("seq"), rows_per_task), rows_per_task)
+    indexed = running(messages, ["channel_id"], ["seq"], block, _n=count_rows())
     joined = salted_join(indexed, cursors.select("channel_id", "reader", "last_index"), ["channel_id"])
     return joined.withColumn("position", F.col("_n") - 1).filter(
         F.col("position") >= F.coalesce("last_index", F.lit(0))
@@ -195,10 +199,14 @@ def mark_read(messages: DataFrame, readers: DataFrame) -> DataFrame:
     return readers.join(totals, "channel_id", "left").withColumn("last_index", F.coalesce("last_index", F.lit(0)))
 
 
-def queue_order(messages: DataFrame, key: str = "recipient", order: list[str] | None = None, block: Column | None = None) -> DataFrame:
+def queue_order(
+    messages: DataFrame, key: str = "recipient", order: list[str] | None = None,
+    block: Column | None = None, rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """Reading position of an unread backlog: a priority message goes to the front, the others to the end."""
     order = order or ["seq"]
-    block = index_block(F.col(order[0])) if block is None else block
+    block = index_block(F.col(order[0]), rows_per_task) if block is None else block
+    block = split_if_hot(messages, [key], block, rows_per_task)
     first = F.coalesce(F.col("priority"), F.lit(False))
     ranked = running(
         messages, [key], order, block,
@@ -214,14 +222,15 @@ def queue_order(messages: DataFrame, key: str = "recipient", order: list[str] |
 
 def marker_batches(
     messages: DataFrame, is_marker: Column, key: str = "recipient", order: list[str] | None = None,
-    block: Column | None = None, max_size: int = 100,
+    block: Column | None = None, max_size: int = 100, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Batches closed by an end marker or at ``max_size``; markers are consumed.
 
     Adds ``segment`` (markers seen before) and ``batch`` within the segment, both from 0.
     """
     order = order or ["seq"]
-    block = index_block(F.col(order[0])) if block is None else block
+    block = index_block(F.col(order[0]), rows_per_task) if block is None else block
+    block = split_if_hot(messages, [key], block, rows_per_task)
     marker = F.coalesce(is_marker, F.lit(False))
     counted = running(
         messages.withColumn("_marker", marker), [key], order, block,
@@ -229,7 +238,7 @@ def marker_batches(
         _n=Running("sum", (~F.col("_marker")).cast("bigint")),
     )
     placed = running(
-        counted, [key], order, block,
+        settle(counted, block), [key], order, block,
         _base=Running("max", F.when(F.col("_marker"), F.col("_n")), inclusive=False),
     ).filter(~F.col("_marker"))
     batch = F.floor((F.col("_n") - F.coalesce("_base", F.lit(0)) - 1) / max_size).cast("bigint")
