@@ -5,7 +5,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from threadloom.operators import ballots, pages as ops
+from threadloom.sources import corpus, records, traces
 from threadloom.sources.tables import read_pages, read_table
+from threadloom.streaming import live
 
 
 def pages(spark, d):
@@ -76,7 +78,59 @@ def _fields(s, d):
     return ops.extract_page_fields(ops.parse_pages(pages(s, d)))
 
 
+def _scan_corpus(s, d):
+    """Texts stored as one file per source and language, listed and read back."""
+    root = live.work_folder(s, "corpus")
+    docs = read_table(s, d, "documents").select("source", "lang", "text")
+    docs.repartition("source", "lang").write.partitionBy("source", "lang").text(root)
+    files = corpus.scan_corpus(s, root, "*.txt")
+    return files.select(
+        F.regexp_replace("relative_path", r"/[^/]*$", "").alias("folder"), F.col("size").cast("bigint").alias("size"),
+        F.length("text").cast("bigint").alias("n_chars"),
+    )
+
+
+def _records(s, d):
+    """Analysis records of each month and region, written to folders as JSON and read back."""
+    root = live.work_folder(s, "records")
+    o, c, n = (read_table(s, d, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    first = j.groupBy(F.trunc("o_orderdate", "month").alias("m"), "n_regionkey").agg(F.count(F.lit(1)).alias("k"), F.min("o_orderkey").alias("first"))
+    made = first.select(
+        F.concat(F.lit("Bill "), F.col("first").cast("string")).alias("bill_title"), F.date_format("m", "MM/dd/yyyy").alias("date_of_vote"),
+        F.concat(F.col("k").cast("string"), F.lit(" orders")).alias("brief_summary"),
+        F.when(F.col("k") % 2 == 0, F.array(F.lit("even"), F.lit("whole"))).alias("pros"), F.lit(None).cast("array<string>").alias("cons"),
+        F.concat(F.lit("https://records.example/bill/x/house-bill/"), F.col("n_regionkey").cast("string")).alias("url"),
+    )
+    records.write_partitioned(records.with_folders(made, "url", "date_of_vote").drop("url"), root, fmt="json")
+    back = records.read_records(s, root, records.ANALYSIS_SCHEMA)
+    return back.select("bill_title", "date_of_vote", "brief_summary", F.array_join("pros", "|").alias("pros"), "month", "entity")
+
+
+def _write_new_append(s, d):
+    """A new file set, appended to, and a copy under the time of the run."""
+    root = live.work_folder(s, "regions")
+    customers = read_table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    records.write_new(customers, f"{root}/data")
+    records.append(customers.filter("c_mktsegment = 'BUILDING'"), f"{root}/data")
+    copy = records.timestamped_copy(s.read.parquet(f"{root}/data"), f"{root}/data", dt.datetime(2025, 1, 2, 3, 4, 5))
+    return s.read.parquet(copy)
+
+
+def _export_trace(s, d):
+    from threadloom.catalog.events import span_rows
+
+    root = live.work_folder(s, "trace")
+    traces.export_trace_json(span_rows(s, d), f"{root}/lines")
+    schema = "span_id bigint, trace_id bigint, ts string, position bigint, depth bigint, root_id bigint"
+    return s.read.schema(schema).json(f"{root}/lines")
+
+
 QUERIES = {
+    "scan_corpus": _scan_corpus,
+    "read_records": _records,
+    "write_new_append": _write_new_append,
+    "export_trace_json": _export_trace,
     "read_pages": lambda s, d: read_pages(s, d).select("page_id", "url", "success", "error"),
     "page_titles": lambda s, d: ops.page_titles(pages(s, d)),
     "extract_page_fields": lambda s, d: _fields(s, d).select("page_id", "title"),
@@ -99,6 +153,8 @@ QUERIES = {
     "active_summary": _user_tasks,
 }
 
+from threadloom.catalog.events import _SPANS  # noqa: E402
+
 _VOTES = """votes AS (SELECT o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'for' WHEN 'O' THEN 'against' ELSE 'abstained' END AS bucket,
   c_mktsegment AS party, n_name AS state FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 _COUNTS = "count(*) FILTER (bucket = 'for') AS votes_for, count(*) FILTER (bucket = 'against') AS votes_against, count(*) FILTER (bucket = 'abstained') AS votes_abstained"
@@ -124,6 +180,13 @@ _CHECK = f"""x AS (SELECT page_id, url, CASE WHEN {_NUM} = '' THEN 'NoNumber' WH
   WHEN TRY_CAST({_NUM} AS INT) <> 0 AND length(html) / TRY_CAST({_NUM} AS INT) < 3 THEN 'Short' END AS error_type FROM pages)"""
 
 SQL = {
+    "scan_corpus": """SELECT 'source=' || source || '/lang=' || lang AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang""",
+    "read_records": """WITH g AS (SELECT date_trunc('month', o_orderdate) AS m, n_regionkey AS r, count(*) AS k, min(o_orderkey) AS f FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT 'Bill ' || f AS bill_title, strftime(m, '%m/%d/%Y') AS date_of_vote, k || ' orders' AS brief_summary, CASE WHEN k % 2 = 0 THEN 'even|whole' END AS pros, strftime(m, '%b%Y') AS month, 'HR' || r AS entity FROM g""",
+    "write_new_append": "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "export_trace_json": f"""WITH RECURSIVE {_SPANS}, t AS (SELECT span_id, span_id AS root_id, CAST(0 AS BIGINT) AS depth FROM sp WHERE parent_id IS NULL OR parent_id NOT IN (SELECT span_id FROM sp)
+  UNION ALL SELECT s.span_id, t.root_id, t.depth + 1 FROM sp s JOIN t ON s.parent_id = t.span_id)
+SELECT span_id, trace_id, '<datetime>' AS ts, row_number() OVER (PARTITION BY trace_id ORDER BY ts, span_id) AS position, depth, root_id FROM sp s JOIN t USING (span_id)""".replace("ORDER BY ts, span_id) AS position", "ORDER BY s.ts, span_id) AS position"),
     "read_pages": "SELECT page_id, url, coalesce(length(html) > 0, false) AS success, CASE WHEN coalesce(length(html) > 0, false) THEN NULL ELSE 'empty body' END AS error FROM pages",
     "page_titles": f"SELECT page_id, url, CASE WHEN {_TITLE} <> '' THEN {_TITLE} ELSE url END AS title FROM pages",
     "extract_page_fields": f"SELECT page_id, CASE WHEN {_TITLE} <> '' THEN {_TITLE} ELSE url END AS title FROM pages",

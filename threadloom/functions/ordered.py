@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from threadloom.functions.checkpoints import cut
 
-ROWS_PER_TASK = 4_000_000
+ROWS_PER_TASK = 1_000_000
 SECONDS_PER_BLOCK = 3600
 
 BLOCK = "_block"

@@ -55,40 +55,35 @@ def resolve_import_edges(refs: DataFrame, files: DataFrame, base: str = "", cwd:
 
 
 def import_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(path, imported, depth) for everything a file imports, and errors with their chain.
+    """(path, imported, depth) for everything a file imports, and errors with one chain each.
 
-    A chain that returns to a file on it is a cycle error, one deeper than ``max_depth`` a depth error.  Each
-    round is one join; the rounds are bounded by the depth.
+    Each round is one join and keeps one chain per pair of files, so many ways between two files do not
+    multiply; the rounds are bounded by the depth.  A file that imports a file on a cycle gets a cycle error,
+    otherwise a chain longer than ``max_depth`` gives a depth error.
     """
     edge = edges.select(F.col("path").alias("_from"), F.col("imported").alias("_to")).distinct()
-    frontier = cut(edge.select(
+    layer = cut(edge.select(
         F.col("_from").alias("path"), F.col("_to").alias("imported"), F.lit(1).cast("bigint").alias("depth"),
-        F.array("_from", "_to").alias("chain"),
+        F.concat_ws(" -> ", "_from", "_to").alias("chain"),
     ))
-    reached, errors = [], []
-    while not frontier.isEmpty():
-        cyclic = F.size(F.array_distinct("chain")) < F.size("chain")
-        deep = F.col("depth") > max_depth
-        failed = F.when(cyclic, F.lit("cycle")).when(deep, F.lit("too deep"))
-        checked = frontier.withColumn("error", failed)
-        errors.append(checked.filter("error is not null").select("path", "error", "depth", F.array_join("chain", " -> ").alias("chain")))
-        good = checked.filter("error is null").drop("error")
-        reached.append(good.select("path", "imported", "depth"))
-        frontier = cut(good.join(edge, good["imported"] == edge["_from"]).select(
-            "path", F.col("_to").alias("imported"), (F.col("depth") + 1).alias("depth"), F.concat("chain", F.array("_to")).alias("chain")
-        ))
-
-    def union(parts):
-        first, *rest = parts
-        for part in rest:
-            first = first.unionByName(part)
-        return first
-
-    if not reached:
-        empty = frontier.select("path", "imported", "depth")
-        return empty, frontier.select("path", F.lit("").alias("error"), "depth", F.lit("").alias("chain"))
-    shortest = union(reached).groupBy("path", "imported").agg(F.min("depth").alias("depth"))
-    return shortest, union(errors)
+    reached = layer
+    for depth in range(2, max_depth + 2):
+        if layer.isEmpty():
+            break
+        layer = cut(
+            layer.join(edge, F.col("imported") == F.col("_from")).groupBy("path", F.col("_to").alias("imported"))
+            .agg(F.min(F.concat_ws(" -> ", "chain", "_to")).alias("chain"))
+            .select("path", "imported", F.lit(depth).cast("bigint").alias("depth"), "chain")
+        )
+        reached = reached.unionByName(layer)
+    pairs = reached.filter(F.col("depth") <= max_depth).groupBy("path", "imported").agg(
+        F.min("depth").alias("depth"), F.min_by("chain", "depth").alias("chain")
+    )
+    cyclic = pairs.filter(F.col("path") == F.col("imported")).select("imported")
+    cycles = pairs.join(cyclic, "imported", "left_semi").select("path", F.lit("cycle").alias("error"), "depth", "chain")
+    deep = reached.filter(F.col("depth") > max_depth).select("path", F.lit("too deep").alias("error"), "depth", "chain")
+    errors = cycles.unionByName(deep.join(cycles.select("path").distinct(), "path", "left_anti"))
+    return pairs.select("path", "imported", "depth"), errors
 
 
 def inline_imports(files: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

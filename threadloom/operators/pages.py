@@ -101,18 +101,17 @@ def extract_links(
     """
     shown = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
     anchors = F.regexp_extract_all(shown, F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(anchors).alias("_pos", "_a"))
-    href = unescape(F.regexp_extract("_a", r"""(?is)^<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    label = strip(F.regexp_replace(unescape(F.regexp_replace("_a", r"(?s)<[^>]*>", " ")), r"\s+", " "))
-    found = rows.select("page_id", "url", "_pos", href.alias("href"), label.alias("label")).filter(F.length("href") > 0)
-    target = F.col("href")
-    if redirect_prefix is not None:
-        wrapped = F.col("href").startswith(redirect_prefix)
-        inner = F.try_url_decode(F.regexp_extract("href", rf"[?&]{redirect_parameter}=([^&#]*)", 1))
-        target = F.when(wrapped, F.when(F.length(inner) > 0, inner)).otherwise(F.col("href"))
-    linked = found.withColumn("link", absolute_url(F.col("url"), target)).filter(F.col("link").isNotNull())
-    # all links of a page come from one row, so a page is a bounded group
-    listed = linked.groupBy("page_id", "url").agg(F.array_sort(F.collect_list(F.struct("_pos", "label", "link"))).alias("_l"))
+    def resolve(anchor: Column) -> Column:
+        href = unescape(F.regexp_extract(anchor, r"""(?is)^<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+        label = strip(F.regexp_replace(unescape(F.regexp_replace(anchor, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+        target = F.when(F.length(href) > 0, href)
+        if redirect_prefix is not None:
+            inner = F.try_url_decode(F.regexp_extract(href, rf"[?&]{redirect_parameter}=([^&#]*)", 1))
+            target = F.when(href.startswith(redirect_prefix), F.when(F.length(inner) > 0, inner)).otherwise(target)
+        return F.struct(label.alias("label"), absolute_url(F.col("url"), target).alias("link"))
+
+    # everything happens on the array of one page: no shuffle, and numbering comes from the array
+    listed = pages.select("page_id", "url", F.filter(F.transform(anchors, resolve), lambda x: x["link"].isNotNull()).alias("_l"))
     kept = F.col("_l") if limit is None else F.slice("_l", 1, limit)
     out = listed.select("page_id", "url", F.posexplode(kept).alias("_i", "_x"))
     return out.select(
