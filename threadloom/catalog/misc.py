@@ -107,7 +107,7 @@ def vote_pages(s, d):
 
 def _extract_tables(s, d):
     rows = pages.extract_tables(pages.parse_pages(vote_pages(s, d)))
-    shown = F.array_join(F.transform(F.array_sort(F.map_entries("cells")), lambda x: F.concat_ws("=", x["key"], x["value"])), "|")
+    shown = F.array_join(F.transform(F.sort_array(F.map_entries("cells")), lambda x: F.concat_ws("=", x["key"], x["value"])), "|")
     return rows.select("page_id", F.col("table_no").cast("bigint").alias("table_no"), F.col("row_no").cast("bigint").alias("row_no"), shown.alias("cells"))
 
 
@@ -130,9 +130,7 @@ def _grouped(s, d):
 
 
 def _reconcile(s, d):
-    parsed = pages.parse_pages(vote_pages(s, d))
-    counted = ballots.tally(pages.locate_member_rows(parsed), ["page_id"])
-    return pages.reconcile(pages.parse_reported_counts(parsed), counted).select("page_id", "yea", "nay", "votes_for", "votes_against", "agrees")
+    return ballots.reconcile_pages(pages.parse_pages(vote_pages(s, d)))
 
 
 def _front_matter(s, d):

@@ -37,13 +37,11 @@ def _rolling_live(s, d):
 def chunks(s, d):
     """Texts cut into pieces of 100 characters; German texts lack the start, others get a piece after the end."""
     doc = read_table(s, d, "documents").select("doc_id", "text", "lang")
-    n = F.ceil(F.length("text") / 100).cast("int")
-    parts = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.struct(i.cast("bigint").alias("seq"), F.lit("chunk").alias("kind"), F.col("text").substr((i - 1) * 100 + 1, F.lit(100)).alias("chunk")),
-    )
+    pieces = F.when(F.length("text") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(r"(?s)(.{1,100})"), F.lit(1)))
+    doc = doc.withColumn("pieces", pieces)
+    parts = F.transform("pieces", lambda x, i: F.struct((i + 1).cast("bigint").alias("seq"), F.lit("chunk").alias("kind"), x.alias("chunk")))
     edge = lambda at, kind: F.struct(at.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("chunk"))
-    last = F.greatest(n, F.lit(1))
+    last = F.size("pieces")
     everything = F.concat(
         F.when(F.col("lang") != "de", F.array(edge(F.lit(0), "start"))).otherwise(F.array().cast("array<struct<seq:bigint,kind:string,chunk:string>>")),
         parts,
@@ -162,10 +160,14 @@ f AS (SELECT user_id, event_id, k, t, t AS first, urgent AS closes, t + 14400000
       CASE WHEN f.urgent OR m.t - f.t >= 14400000000 THEN f.segment + 1 ELSE f.segment END AS segment,
       CASE WHEN f.urgent OR m.t - f.t >= 14400000000 THEN 0 WHEN fresh THEN f.batch + 1 ELSE f.batch END AS batch
     FROM m JOIN f ON m.user_id = f.user_id AND m.k = f.k + 1))"""
+_FOLD_LIVE = _FOLD.replace("FROM events)", "FROM events WHERE epoch_us(ts) < (SELECT wm FROM w))").replace("RECURSIVE m AS", "RECURSIVE w AS (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 AS wm FROM events), m AS")
 _CHUNKS = """d AS (SELECT doc_id AS stream_id, text, lang, greatest(1, CAST(ceil(length(text) / 100) AS BIGINT)) AS n FROM documents)"""
 
 SQL = {
     "rolling_batches": f"WITH {_FOLD} SELECT user_id AS agent_id, event_id, CAST(segment AS BIGINT) AS segment, CAST(batch AS BIGINT) AS batch FROM f",
+    "rolling_batches_live": f"""WITH {_FOLD_LIVE}, g AS (SELECT user_id, min(t) AS first_us, max(t) AS last_us, count(*) AS messages, string_agg(event_id, ',' ORDER BY k) AS ids, arg_max(closes, k) AS closes, arg_max(deadline, k) AS deadline, max(k) AS k
+  FROM f GROUP BY user_id, segment, batch)
+SELECT CAST(user_id AS VARCHAR) AS key, first_us, last_us, messages, ids FROM g WHERE closes OR deadline <= (SELECT wm FROM w) OR EXISTS (SELECT 1 FROM m WHERE m.user_id = g.user_id AND m.k = g.k + 1)""",
     "assemble_streams": f"WITH {_CHUNKS} SELECT stream_id, text, n AS chunks FROM d WHERE lang <> 'de'",
     "assemble_streams_live": f"WITH {_CHUNKS} SELECT stream_id, text, n AS chunks FROM d WHERE lang <> 'de'",
     "assemble_streams_errors": f"""WITH {_CHUNKS} SELECT stream_id, unnest(generate_series(1, n + 1)) AS seq, CASE WHEN seq = n + 1 THEN 'complete' ELSE 'chunk' END AS kind, 'no start' AS error FROM d WHERE lang = 'de'

@@ -68,6 +68,21 @@ def classify(votes: DataFrame) -> DataFrame:
     })
 
 
+def reconcile_pages(parsed: DataFrame) -> DataFrame:
+    """Totals a page states next to the votes counted in its member table, in one pass over the page."""
+    from threadloom.operators.pages import member_table, reported_count
+
+    rows = member_table()
+    counted = lambda bucket: F.size(F.filter(rows, lambda r: ballot_class(r["vote"]) == bucket)).cast("bigint")
+    facts = parsed.select(
+        "page_id", reported_count(1).alias("yea"), reported_count(2).alias("nay"),
+        counted("for").alias("votes_for"), counted("against").alias("votes_against"),
+    )
+    return facts.withColumn(
+        "agrees", (F.col("yea") == F.col("votes_for")) & (F.col("nay") == F.col("votes_against"))
+    )
+
+
 def _bucket_counts() -> list[Column]:
     return [F.count_if(F.col("bucket") == b).alias(f"votes_{b}") for b in BUCKETS]
 

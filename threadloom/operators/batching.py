@@ -107,7 +107,7 @@ def assemble_streams(chunks: DataFrame, rows_per_block: int = 100_000) -> tuple[
     )
 
     def joined(at: str, text: str):
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), "")
+        return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, text))), lambda x: x[text]), "")
 
     inside = placed.filter(is_open & F.col("_to").isNotNull() & (F.col("kind") == "chunk"))
     pieces = inside.groupBy("stream_id", F.floor(seq / rows_per_block).alias("_at")).agg(

@@ -46,7 +46,7 @@ def merge_runs(conv: DataFrame, key: str = "conv_id", order: str = "turn", rows_
     runs = with_runs(conv.select(key, order, "role", "text", "marked"), key, order, rows_per_task)
 
     def join_texts(at: str):
-        texts = F.transform(F.array_sort(F.collect_list(F.struct(at, "text"))), lambda x: x["text"])
+        texts = F.transform(F.sort_array(F.collect_list(F.struct(at, "text"))), lambda x: x["text"])
         return F.array_join(texts, "\n\n")
 
     pieces = runs.groupBy(key, "run_start", index_block(F.col(order), rows_per_task).alias("_at")).agg(

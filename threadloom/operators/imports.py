@@ -119,5 +119,5 @@ def inline_imports(files: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPT
     shown = F.when(F.length(strip(F.col("_line"))) > 0, F.concat("pad", "_line")).otherwise(F.col("_line"))
     pieces = first.select("path", F.struct("position", shown.alias("line")).alias("r"))
     return pieces.groupBy("path").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("text")
+        F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["line"]), "\n").alias("text")
     )

@@ -255,7 +255,7 @@ def merge_batch_text(batches: DataFrame, keys: list[str], order: str = "seq") ->
     rows = batches.select(*keys, F.struct(F.col(order).alias("o"), line.alias("line")).alias("r"))
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("messages"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["line"]), "\n").alias("text"),
     )
 
 

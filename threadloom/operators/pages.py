@@ -185,28 +185,33 @@ def extract_tables(parsed: DataFrame) -> DataFrame:
     return rows.select("page_id", "table_no", "row_no", "headers", _keyed(F.col("headers"), F.col("_c")).alias("cells"))
 
 
-def locate_member_rows(parsed: DataFrame) -> DataFrame:
-    """Party, state and vote of the rows of the first table about representatives, states and votes.
+def member_table() -> Column:
+    """Rows of the first table about representatives, states and votes, else of the first table.
 
-    Without such a table the first one counts.  Columns are found by name, then by position.
+    array<struct<representative, party, state, vote>> of a parsed page; columns are found by name, then by
+    position.
     """
     has = lambda t, word: F.exists(t["headers"], lambda h: F.contains(F.lower(h), F.lit(word)))
     fitting = F.filter("tables", lambda t: has(t, "representative") & has(t, "vote") & has(t, "state"))
     chosen = F.coalesce(F.get(fitting, F.lit(0)), F.get("tables", F.lit(0)))
-    rows = parsed.select("page_id", chosen.alias("_t")).select(
-        "page_id", F.col("_t.headers").alias("_h"), F.posexplode("_t.rows").alias("row_no", "_c")
-    ).select("page_id", "row_no", _keyed(F.col("_h"), F.col("_c")).alias("m"))
 
-    def cell(name: str, place: str):
-        named = [F.when(F.length(F.try_element_at("m", F.lit(k))) > 0, F.try_element_at("m", F.lit(k))) for k in (name, name.lower(), place)]
-        return F.coalesce(*named, F.lit(""))
+    def cell(cells: Column, name: str, place: int) -> Column:
+        values = _keyed(chosen["headers"], cells)
+        tries = [F.try_element_at(values, F.lit(k)) for k in (name, name.lower(), str(place))]
+        return F.coalesce(*[F.when(F.length(v) > 0, v) for v in tries], F.lit(""))
 
-    return rows.select(
-        "page_id", "row_no", cell("Representative", "0").alias("representative"), cell("Party", "1").alias("party"),
-        cell("State", "2").alias("state"), cell("Vote", "3").alias("vote"),
+    names = ["Representative", "Party", "State", "Vote"]
+    return F.transform(
+        chosen["rows"], lambda c: F.struct(*[cell(c, n, i).alias(n.lower()) for i, n in enumerate(names)])
     )
 
 
+def locate_member_rows(parsed: DataFrame) -> DataFrame:
+    """Representative, party, state and vote of the rows of each page's member table."""
+    rows = parsed.select("page_id", F.posexplode(member_table()).alias("row_no", "_m"))
+    return rows.select("page_id", "row_no", "_m.representative", "_m.party", "_m.state", "_m.vote")
+
+
 def extract_grouped_lists(parsed: DataFrame) -> DataFrame:
     """Names listed under Yea, Nay, Not Voting and Present headings; the first matching group counts."""
     rows = parsed.select("page_id", F.posexplode("groups").alias("_g", "_x"))
@@ -218,13 +223,15 @@ def extract_grouped_lists(parsed: DataFrame) -> DataFrame:
     )
 
 
+def reported_count(group: int, text: str = "text") -> Column:
+    """The yea (1) or nay (2) total a text states, null without one."""
+    found = F.regexp_extract(text, r"(?is)Yea[:\s]+(\d+).*?Nay[:\s]+(\d+)", group)
+    return F.when(found != "", found).cast("bigint")
+
+
 def parse_reported_counts(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """Totals a page states in its text."""
-    found = lambda n: F.regexp_extract(text, r"(?is)Yea[:\s]+(\d+).*?Nay[:\s]+(\d+)", n)
-    return pages.select(
-        key, F.when(found(1) != "", found(1)).cast("bigint").alias("yea"),
-        F.when(found(2) != "", found(2)).cast("bigint").alias("nay"),
-    )
+    """Totals each page states in its text."""
+    return pages.select(key, reported_count(1, text).alias("yea"), reported_count(2, text).alias("nay"))
 
 
 def reconcile(reported: DataFrame, counted: DataFrame, key: str = "page_id") -> DataFrame:

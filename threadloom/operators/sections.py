@@ -151,7 +151,7 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         key, "block_line", F.struct("line_no", shown.alias("text"), "type").alias("r"),
         F.when(F.col("type") == "heading", F.length(F.regexp_extract(line, "^(#+)", 1))).cast("bigint").alias("level"),
     )
-    blocks = rows.groupBy(key, "block_line").agg(F.array_sort(F.collect_list("r")).alias("_r"), F.max("level").alias("level"))
+    blocks = rows.groupBy(key, "block_line").agg(F.sort_array(F.collect_list("r")).alias("_r"), F.max("level").alias("level"))
     return blocks.select(
         key, F.col("block_line").alias("line_no"), F.col("_r")[0]["type"].alias("type"), "level",
         F.array_join(F.transform("_r", lambda x: x["text"]), "\n").alias("text"),

@@ -63,12 +63,13 @@ def describe(docs: DataFrame, max_sentences: int = 2, key: str = "doc_id", text:
     """
     actions = rf"(?i)(?<![{_WORD}])({'|'.join(ACTION_WORDS)})(?![{_WORD}])"
     phrases = rf"(?i)(?<![{_WORD}])({'|'.join(KEY_PHRASES)})"
-    furniture = F.array(*[F.lit(p) for p in BOILERPLATE])
-    clean = F.filter(sentences(F.col(text)), lambda s: ~F.exists(furniture, lambda p: F.contains(F.lower(s), p)))
+    furniture = "|".join(BOILERPLATE)
+    clean = F.filter(sentences(F.col(text)), lambda s: ~F.lower(s).rlike(furniture))
     cut = docs.select(key, clean.alias("_s"), (F.col(title) if title else F.lit("")).alias("_title"))
-    with_action = F.filter("_s", lambda s: s.rlike(actions))
+    cut = cut.withColumn("_acting", F.filter("_s", lambda s: s.rlike(actions)))
     with_phrase = F.filter("_s", lambda s: s.rlike(phrases))
-    chosen = F.when(F.size(with_action) > 0, with_action).when(F.size(with_phrase) > 0, with_phrase).otherwise(F.col("_s"))
+    cut = cut.withColumn("_about", F.when(F.size("_acting") == 0, with_phrase))
+    chosen = F.when(F.size("_acting") > 0, F.col("_acting")).when(F.size("_about") > 0, F.col("_about")).otherwise(F.col("_s"))
     first = F.get(sentences(F.coalesce(F.col("_title"), F.lit(""))), F.lit(0))
     words = F.split(first, r"\s+")
     short = F.when(
