@@ -70,11 +70,11 @@ def classify(votes: DataFrame) -> DataFrame:
 
 def reconcile_pages(parsed: DataFrame) -> DataFrame:
     """Totals a page states next to the votes counted in its member table, in one pass over the page."""
-    from threadloom.operators.pages import member_table, reported_count
+    from threadloom.operators.pages import reported_count, with_members
 
-    rows = member_table()
-    counted = lambda bucket: F.size(F.filter(rows, lambda r: ballot_class(r["vote"]) == bucket)).cast("bigint")
-    facts = parsed.select(
+    classed = with_members(parsed).withColumn("_b", F.transform("members", lambda m: ballot_class(m["vote"])))
+    counted = lambda bucket: F.size(F.filter("_b", lambda b: b == bucket)).cast("bigint")
+    facts = classed.select(
         "page_id", reported_count(1).alias("yea"), reported_count(2).alias("nay"),
         counted("for").alias("votes_for"), counted("against").alias("votes_against"),
     )

@@ -185,30 +185,29 @@ def extract_tables(parsed: DataFrame) -> DataFrame:
     return rows.select("page_id", "table_no", "row_no", "headers", _keyed(F.col("headers"), F.col("_c")).alias("cells"))
 
 
-def member_table() -> Column:
-    """Rows of the first table about representatives, states and votes, else of the first table.
+def with_members(parsed: DataFrame) -> DataFrame:
+    """Add ``members``, array<struct<representative, party, state, vote>>, to parsed pages.
 
-    array<struct<representative, party, state, vote>> of a parsed page; columns are found by name, then by
-    position.
+    The rows are those of the first table about representatives, states and votes, else of the first table;
+    columns are found by name, then by position.
     """
     has = lambda t, word: F.exists(t["headers"], lambda h: F.contains(F.lower(h), F.lit(word)))
-    fitting = F.filter("tables", lambda t: has(t, "representative") & has(t, "vote") & has(t, "state"))
-    chosen = F.coalesce(F.get(fitting, F.lit(0)), F.get("tables", F.lit(0)))
+    fitting = F.get(F.filter("tables", lambda t: has(t, "representative") & has(t, "vote") & has(t, "state")), F.lit(0))
+    chosen = parsed.withColumn("_t", F.coalesce(fitting, F.get("tables", F.lit(0))))
+    keyed = chosen.withColumn("_m", F.transform("_t.rows", lambda c: _keyed(F.col("_t.headers"), c)))
 
-    def cell(cells: Column, name: str, place: int) -> Column:
-        values = _keyed(chosen["headers"], cells)
+    def cell(values: Column, name: str, place: int) -> Column:
         tries = [F.try_element_at(values, F.lit(k)) for k in (name, name.lower(), str(place))]
-        return F.coalesce(*[F.when(F.length(v) > 0, v) for v in tries], F.lit(""))
+        return F.coalesce(*[F.nullif(v, F.lit("")) for v in tries], F.lit(""))
 
     names = ["Representative", "Party", "State", "Vote"]
-    return F.transform(
-        chosen["rows"], lambda c: F.struct(*[cell(c, n, i).alias(n.lower()) for i, n in enumerate(names)])
-    )
+    members = F.transform("_m", lambda m: F.struct(*[cell(m, n, i).alias(n.lower()) for i, n in enumerate(names)]))
+    return keyed.withColumn("members", members).drop("_t", "_m")
 
 
 def locate_member_rows(parsed: DataFrame) -> DataFrame:
     """Representative, party, state and vote of the rows of each page's member table."""
-    rows = parsed.select("page_id", F.posexplode(member_table()).alias("row_no", "_m"))
+    rows = with_members(parsed).select("page_id", F.posexplode("members").alias("row_no", "_m"))
     return rows.select("page_id", "row_no", "_m.representative", "_m.party", "_m.state", "_m.vote")
 
 

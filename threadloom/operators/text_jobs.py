@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,9 @@ def describe(docs: DataFrame, max_sentences: int = 2, key: str = "doc_id", text:
     furniture = "|".join(BOILERPLATE)
     clean = F.filter(sentences(F.col(text)), lambda s: ~F.lower(s).rlike(furniture))
     cut = docs.select(key, clean.alias("_s"), (F.col(title) if title else F.lit("")).alias("_title"))
-    cut = cut.withColumn("_acting", F.filter("_s", lambda s: s.rlike(actions)))
+    # plain searches for the stems come first: most sentences have none, and the expression is only run on the rest
+    stem = lambda s: reduce(lambda a, b: a | b, [F.contains(F.lower(s), F.lit(w)) for w in _stems(ACTION_WORDS)])
+    cut = cut.withColumn("_acting", F.filter("_s", lambda s: stem(s) & s.rlike(actions)))
     with_phrase = F.filter("_s", lambda s: s.rlike(phrases))
     cut = cut.withColumn("_about", F.when(F.size("_acting") == 0, with_phrase))
     chosen = F.when(F.size("_acting") > 0, F.col("_acting")).when(F.size("_about") > 0, F.col("_about")).otherwise(F.col("_s"))
@@ -79,6 +83,11 @@ def describe(docs: DataFrame, max_sentences: int = 2, key: str = "doc_id", text:
     return cut.select(key, F.when(F.size("_s") > 0, picked).otherwise(F.coalesce(short, F.lit(""))).alias("description"))
 
 
+def _stems(words: list[str]) -> list[str]:
+    """The words that are not an extension of another one."""
+    return [w for w in words if not any(w != v and w.startswith(v) for v in words)]
+
+
 def label_topics(
     docs: DataFrame, rules=None, key: str = "doc_id", text: str = "text", title: str | None = None, default: str = "general",
 ) -> DataFrame:
