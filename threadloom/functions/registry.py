@@ -58,7 +58,7 @@ class Registry:
         def wrap(cls):
             self._entries[name] = Entry(
                 name, "table", cls, inspect.getdoc(cls) or "", f"{name}{inspect.signature(cls.eval)}", schema,
-                {**flags, "udtf": F.udtf(cls, returnType=schema)},
+                {**flags, "udtf": F.udtf(cls, returnType=schema, useArrow=True)},
             )
             return cls
         return wrap

@@ -187,7 +187,8 @@ def extract_concepts(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("word"),
             F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))).alias("before"),
         ),
-        lambda x: ~x["before"].rlike(r"[.!?]\z") & x["word"].rlike(r"^\p{Lu}") & (F.length(x["word"]) > 2),
+        lambda x: (F.length(x["word"]) > 2) & x["word"].rlike(r"^\p{Lu}")
+        & ~(x["before"].endswith(".") | x["before"].endswith("!") | x["before"].endswith("?")),
     )
     words = F.transform(pairs, lambda x: F.regexp_replace(x["word"], r"^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+\z", ""))
     found = cut.select(key, F.posexplode(F.concat("_p", words)).alias("pos", "concept"))

@@ -63,15 +63,18 @@ def describe(docs: DataFrame, max_sentences: int = 2, key: str = "doc_id", text:
     The first sentences with an action word, else with a key phrase, else any that are not page furniture,
     else the shortened title.  Works inside each row.
     """
-    actions = rf"(?i)(?<![{_WORD}])({'|'.join(ACTION_WORDS)})(?![{_WORD}])"
-    phrases = rf"(?i)(?<![{_WORD}])({'|'.join(KEY_PHRASES)})"
-    furniture = "|".join(BOILERPLATE)
-    clean = F.filter(sentences(F.col(text)), lambda s: ~F.lower(s).rlike(furniture))
-    cut = docs.select(key, clean.alias("_s"), (F.col(title) if title else F.lit("")).alias("_title"))
-    # plain searches for the stems come first: most sentences have none, and the expression is only run on the rest
-    stem = lambda s: reduce(lambda a, b: a | b, [F.contains(F.lower(s), F.lit(w)) for w in _stems(ACTION_WORDS)])
-    cut = cut.withColumn("_acting", F.filter("_s", lambda s: stem(s) & s.rlike(actions)))
-    with_phrase = F.filter("_s", lambda s: s.rlike(phrases))
+    actions = rf"{_starts(ACTION_WORDS)}(?<![{_WORD}])({'|'.join(ACTION_WORDS)})(?![{_WORD}])"
+    phrases = rf"{_starts(KEY_PHRASES)}(?<![{_WORD}])({'|'.join(KEY_PHRASES).lower()})"
+
+    def mentions(x: Column, words: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(x["low"], F.lit(w)) for w in words])
+
+    # each sentence is lower-cased once; plain searches come first, the expressions only run where a stem is found
+    both = F.transform(sentences(F.col(text)), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    cut = docs.select(key, both.alias("_all"), (F.col(title) if title else F.lit("")).alias("_title"))
+    cut = cut.withColumn("_s", F.filter("_all", lambda x: ~mentions(x, BOILERPLATE)))
+    cut = cut.withColumn("_acting", F.filter("_s", lambda x: mentions(x, _stems(ACTION_WORDS)) & x["low"].rlike(actions)))
+    with_phrase = F.filter("_s", lambda x: x["low"].rlike(phrases))
     cut = cut.withColumn("_about", F.when(F.size("_acting") == 0, with_phrase))
     chosen = F.when(F.size("_acting") > 0, F.col("_acting")).when(F.size("_about") > 0, F.col("_about")).otherwise(F.col("_s"))
     first = F.get(sentences(F.coalesce(F.col("_title"), F.lit(""))), F.lit(0))
@@ -79,7 +82,7 @@ def describe(docs: DataFrame, max_sentences: int = 2, key: str = "doc_id", text:
     short = F.when(
         F.size(words) > TITLE_WORDS, F.concat(F.array_join(F.slice(words, 1, TITLE_WORDS), " "), F.lit("..."))
     ).otherwise(first)
-    picked = F.array_join(F.slice(chosen, 1, max_sentences), " ")
+    picked = F.array_join(F.slice(chosen, 1, max_sentences)["s"], " ")
     return cut.select(key, F.when(F.size("_s") > 0, picked).otherwise(F.coalesce(short, F.lit(""))).alias("description"))
 
 
@@ -88,6 +91,11 @@ def _stems(words: list[str]) -> list[str]:
     return [w for w in words if not any(w != v and w.startswith(v) for v in words)]
 
 
+def _starts(words: list[str]) -> str:
+    """Rules out most places by their first letter before anything else is tested."""
+    return f"(?=[{''.join(sorted({w[0].lower() for w in words}))}])"
+
+
 def label_topics(
     docs: DataFrame, rules=None, key: str = "doc_id", text: str = "text", title: str | None = None, default: str = "general",
 ) -> DataFrame:
