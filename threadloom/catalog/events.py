@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import events as ops
 from threadloom.operators import spans, state
-from threadloom.sources.tables import event_log_from_table, read_table
+from threadloom.sources.tables import event_log_from_table, event_payload, read_table
 
 
 
@@ -85,14 +85,20 @@ def snapshots(s, d):
     ).select("session_id", "step", "name", F.col("x.v").alias("value"))
 
 
+def _halves(s, d):
+    """State of each user at the end of the first and of the second half of the month."""
+    snap = snapshots(s, d).withColumn("half", F.when(F.col("step") <= 15, 1).otherwise(2))
+    last = snap.groupBy("session_id", "half", "name").agg(F.max_by(F.struct("value"), "step").alias("x"))
+    both = last.select("session_id", "half", "name", F.col("x.value").alias("value"))
+    return both.filter("half = 1").drop("half"), both.filter("half = 2").drop("half")
+
+
 def _diff(s, d):
-    snap = snapshots(s, d)
-    return state.diff_states(snap.filter("step = 1").drop("step"), snap.filter("step = 2").drop("step"), ["session_id"])
+    return state.diff_states(*_halves(s, d), ["session_id"])
 
 
 def _deleted(s, d):
-    snap = snapshots(s, d)
-    return state.deleted_keys(snap.filter("step = 1").drop("step"), snap.filter("step = 2").drop("step"), ["session_id"])
+    return state.deleted_keys(*_halves(s, d), ["session_id"])
 
 
 def _latest(s, d):
@@ -140,7 +146,13 @@ def _recent(s, d):
     return ops.recent(e, "7d", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).select("event_id", "user_id")
 
 
+def _read_log(s, d):
+    typed = event_payload(event_log_from_table(read_table(s, d, "events")), "k bigint")
+    return typed.select("event_id", "agent_id", F.unix_micros("ts").alias("ts_us"), "event_type", "value", "payload", F.col("fields.k").alias("k"))
+
+
 QUERIES = {
+    "read_event_log": _read_log,
     "pair_start_end": _pair,
     "call_depth": _depth,
     "attribute_parents": _parents,
@@ -187,6 +199,8 @@ v AS (SELECT agent_id AS session_id, CAST(day(ts) AS BIGINT) AS step, CASE WHEN
   CASE WHEN model = 0 THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS value,
   row_number() OVER (PARTITION BY agent_id, day(ts), event_type ORDER BY ts DESC, event_id DESC) AS k FROM log),
 snap AS (SELECT session_id, step, name, value FROM v WHERE k = 1)"""
+_HALVES = """halves AS (SELECT session_id, CASE WHEN step <= 15 THEN 1 ELSE 2 END AS half, name, value FROM snap
+  QUALIFY row_number() OVER (PARTITION BY session_id, CASE WHEN step <= 15 THEN 1 ELSE 2 END, name ORDER BY step DESC) = 1)"""
 _DIFFS = """st AS (SELECT DISTINCT session_id, step FROM snap),
 nx AS (SELECT session_id, step, lead(step) OVER (PARTITION BY session_id ORDER BY step) AS next_step FROM st),
 moved AS (SELECT s.session_id, next_step AS step, name, value FROM snap s JOIN nx USING (session_id, step) WHERE next_step IS NOT NULL AND name NOT LIKE '\\_%' ESCAPE '\\'),
@@ -200,6 +214,7 @@ _ATT = """att AS (SELECT o_custkey AS meeting_id, o_orderkey AS agent_id, o_orde
   CASE WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_totalprice > 480000 THEN 'rejected' ELSE 'pending' END AS status, o_orderkey % 33 AS secs FROM orders)"""
 
 SQL = {
+    "read_event_log": "SELECT event_id, user_id AS agent_id, epoch_us(ts) AS ts_us, event_type, value, props AS payload, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "pair_start_end": f"""WITH {_LOG}, n AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN {{'ts': ts, 'id': event_id}} END)
   OVER (PARTITION BY agent_id, model ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS e FROM log)
 SELECT event_id, agent_id, model, e.id AS end_id, epoch_us(e.ts) - epoch_us(ts) AS duration_us FROM n WHERE event_type = 'view'""",
@@ -254,13 +269,13 @@ t AS (SELECT span_id, span_id AS root_id, CAST(0 AS BIGINT) AS depth, CAST(span_
   UNION ALL SELECT s.span_id, t.root_id, t.depth + 1, t.path || '/' || s.span_id FROM sp s JOIN t ON s.parent_id = t.span_id)
 SELECT * FROM t""",
     "public_values": f"WITH {_SNAP} SELECT * FROM snap WHERE name <> '_error' AND value IS NOT NULL",
-    "diff_states": f"""WITH {_SNAP}, p AS (SELECT * FROM snap WHERE step = 1 AND name <> '_error'), c AS (SELECT * FROM snap WHERE step = 2 AND name <> '_error'),
+    "diff_states": f"""WITH {_SNAP}, {_HALVES}, p AS (SELECT * FROM halves WHERE half = 1 AND name <> '_error'), c AS (SELECT * FROM halves WHERE half = 2 AND name <> '_error'),
 x AS (SELECT coalesce(p.session_id, c.session_id) AS session_id, coalesce(p.name, c.name) AS name, p.value AS old_value, c.value AS new_value,
   CASE WHEN p.name IS NULL THEN 'new' WHEN c.name IS NULL THEN 'deleted' WHEN p.value IS DISTINCT FROM c.value THEN 'changed' END AS change
   FROM p FULL JOIN c ON p.session_id = c.session_id AND p.name = c.name) SELECT * FROM x WHERE change IS NOT NULL""",
     "snapshot_diffs": f"WITH {_SNAP}, {_DIFFS} SELECT * FROM diffs WHERE change IS NOT NULL",
     "state_changes": f"WITH {_SNAP}, {_DIFFS} SELECT session_id, step, name, new_value, change FROM diffs d WHERE change IN ('new', 'changed') AND step > (SELECT min(step) FROM st WHERE st.session_id = d.session_id)",
-    "deleted_keys": f"WITH {_SNAP} SELECT session_id, name FROM snap a WHERE step = 1 AND name <> '_error' AND NOT EXISTS (SELECT 1 FROM snap b WHERE b.session_id = a.session_id AND b.name = a.name AND b.step = 2)",
+    "deleted_keys": f"WITH {_SNAP}, {_HALVES} SELECT session_id, name FROM halves a WHERE half = 1 AND name <> '_error' AND NOT EXISTS (SELECT 1 FROM halves b WHERE b.session_id = a.session_id AND b.name = a.name AND b.half = 2)",
     "latest_state": f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY agent_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM log) SELECT agent_id, event_type AS name, value FROM r WHERE k = 1 AND model > 0",
     "effective_settings": "SELECT user_id || '.' || event_type AS key_path, arg_max(props, event_id) AS value, 'layer' || max(event_id) AS layer FROM events GROUP BY user_id, event_type",
     "attendance_status": f"""WITH {_ATT} SELECT meeting_id, count(*) AS attendees, CASE WHEN NOT bool_or(required) THEN 'ready' WHEN bool_or(required AND status = 'rejected') THEN 'failed'

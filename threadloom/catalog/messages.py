@@ -155,6 +155,7 @@ def _lookup(s, d, side):
 
 
 QUERIES = {
+    "read_messages": messages,
     "fan_out": lambda s, d: ops.fan_out(messages(s, d), members(s, d)).select("channel_id", "seq", "sender", "recipient"),
     "notify_observers": _notify_observers,
     "gate_delivery": _gate_delivery,
@@ -190,6 +191,7 @@ batches AS (SELECT recipient, seq, event_type, props, CAST(segment AS BIGINT) AS
 """
 
 SQL = {
+    "read_messages": "SELECT conv_id AS channel_id, turn AS seq, role AS sender, text AS content FROM conversations",
     "fan_out": f"WITH {_MEMBERS} SELECT c.conv_id AS channel_id, c.turn AS seq, c.role AS sender, m.participant_id AS recipient FROM conversations c JOIN members m ON m.channel_id = c.conv_id AND m.participant_id <> c.role",
     "notify_observers": """
 WITH e AS (SELECT conv_id AS channel_id, turn AS seq, CASE WHEN turn % 3 = 0 THEN NULL WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS recipient FROM conversations),

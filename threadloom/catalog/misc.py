@@ -171,7 +171,7 @@ def _symbols(s, d):
 def _blocks(s, d):
     """Markdown built from each text: a heading, its first line, a list, a quote, code and a rule."""
     doc = read_table(s, d, "documents").select("doc_id", "lang", "source", F.split("text", "\n", -1)[0].alias("x"))
-    text = F.concat_ws("\n", F.concat(F.lit("## "), F.col("lang")), F.col("x"), F.lit("next line"), F.lit(""), F.lit("- one"), F.lit("  more"),
+    text = F.concat_ws("\n", F.concat(F.lit("## "), F.col("lang")), F.concat(F.lit("w "), F.col("x")), F.lit("next line"), F.lit(""), F.lit("- one"), F.lit("  more"),
                        F.concat(F.lit("2. "), F.col("source")), F.lit(""), F.lit("> quoted"), F.lit("> twice"), F.lit("```python"), F.lit("# no heading"), F.lit(""), F.lit("```"), F.lit("***"))
     return sections.markdown_blocks(doc.select("doc_id", text.alias("text")))
 
@@ -292,6 +292,18 @@ UNION ALL SELECT doc_id, 'Cons', 8, 'this long line opens the list' FROM x
 UNION ALL SELECT doc_id, 'Cons', 9, regexp_replace(two, '^[-•]\\s+', '') FROM x WHERE regexp_matches(two, '^-\\s')""",
     "symbol_index": """SELECT doc_id, 'variable' AS kind, lang AS symbol, CAST(3 AS BIGINT) AS uses FROM documents UNION ALL SELECT doc_id, 'variable', source, 1 FROM documents
 UNION ALL SELECT doc_id, 'variable', 'x', 1 FROM documents UNION ALL SELECT doc_id, 'call', 'Call($' || lang || ')', 1 FROM documents""",
+    "markdown_blocks": """WITH d AS (SELECT doc_id, lang, source, regexp_replace('w ' || string_split(text, chr(10))[1], '\\s+$', '') AS x FROM documents)
+SELECT doc_id, b.line_no, b.type, b.level, b.text FROM (SELECT doc_id, unnest([
+  {'line_no': 1::BIGINT, 'type': 'heading', 'level': 2::BIGINT, 'text': lang}, {'line_no': 2, 'type': 'paragraph', 'level': NULL, 'text': x || chr(10) || 'next line'},
+  {'line_no': 5, 'type': 'item', 'level': NULL, 'text': 'one' || chr(10) || 'more'}, {'line_no': 7, 'type': 'item', 'level': NULL, 'text': source},
+  {'line_no': 9, 'type': 'quote', 'level': NULL, 'text': 'quoted' || chr(10) || 'twice'}, {'line_no': 11, 'type': 'code', 'level': NULL, 'text': '# no heading' || chr(10)},
+  {'line_no': 15, 'type': 'rule', 'level': NULL, 'text': '***'}]) AS b FROM d)""",
+    "text_columns": """WITH d AS (SELECT *, octet_length(encode(text)) * 1000 AS n, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 197) || '...' END AS s FROM documents)
+SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS short,
+  CASE WHEN length(text) > 400 THEN substr(text, 1, 180) || ' ... ' || substr(text, length(text) - 179) || ' (length: ' || length(text) || ')' ELSE text END AS preview,
+  CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size,
+  upper(substr(lang, 1, 1)) || lower(substr(lang, 2)) || upper(substr(source, 1, 1)) || lower(substr(source, 2)) || 'SomeWords' AS camel,
+  array_to_string(list_transform(string_split(s, chr(10)), lambda l: CASE WHEN regexp_matches(l, '\\S') THEN '  ' || l ELSE l END), chr(10)) AS indented FROM d""",
     "registry_scalars": "SELECT o_orderkey, round(o_totalprice * 20.0::DOUBLE / 100, 4) AS tax, o_totalprice + 1.5::DOUBLE AS added, o_totalprice * 2.0::DOUBLE AS doubled FROM orders",
     "registry_transforms": "SELECT role, CAST(sum(len(regexp_extract_all(text, '\\S+')) + 4) + 2 AS BIGINT) AS tokens FROM conversations WHERE trim(text) <> '' GROUP BY role",
 }

@@ -81,8 +81,8 @@ def human_bytes(size: Column) -> Column:
     expr = F.lit(None).cast("string")
     for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB"]))):
         scaled = value / F.lit(float(1024 ** power))
-        expr = F.when(scaled < 1024, F.concat(F.format_string("%.1f", scaled), F.lit(f" {unit}"))).otherwise(
-            expr if power < 3 else F.concat(F.format_string("%.1f", value / F.lit(float(1024 ** 4))), F.lit(" TB"))
+        expr = F.when(scaled < 1024, F.concat(F.format_string("%.1f", F.bround(scaled, 1)), F.lit(f" {unit}"))).otherwise(
+            expr if power < 3 else F.concat(F.format_string("%.1f", F.bround(value / F.lit(float(1024 ** 4)), 1)), F.lit(" TB"))
         )
     return expr
 
