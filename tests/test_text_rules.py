@@ -29,7 +29,7 @@ def test_states(spark, value, want):
 
 @pytest.mark.parametrize("kind, code", list(pages.ENTITY_CODES.items()))
 def test_entity_codes(spark, kind, code):
-    assert one(spark, f"https://x.example/bill/119th-congress/{kind}/498", pages.entity_code) == f"{code}498"
+    assert one(spark, f"https://x.example/bill/119/{kind}/498", pages.entity_code) == f"{code}498"
     assert one(spark, "https://x.example/other/498", pages.entity_code) is None
 
 

@@ -83,7 +83,7 @@ def _entity_codes(s, d):
     kinds = list(pages.ENTITY_CODES) + ["house-report"]
     o = read_table(s, d, "orders")
     kind = F.array(*[F.lit(k) for k in kinds])[(F.col("o_custkey") % len(kinds)).cast("int")]
-    url = F.concat(F.lit("https://records.example/bill/119th-congress/"), kind, F.lit("/"), F.col("o_orderkey").cast("string"), F.lit("?x=1"))
+    url = F.concat(F.lit("https://records.example/bill/119/"), kind, F.lit("/"), F.col("o_orderkey").cast("string"), F.lit("?x=1"))
     return o.select("o_orderkey", pages.entity_code(url).alias("code"), tx.month_label(F.col("o_orderdate")).alias("month"), tx.safe_name(url).alias("file_name"))
 
 
@@ -241,7 +241,7 @@ _VOTE = "CASE o_orderstatus WHEN 'F' THEN 'Yea' WHEN 'O' THEN 'Nay' ELSE 'Not Vo
 _J = "j AS (SELECT *, " + _VOTE + " AS vote FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 _KINDS = "[" + ", ".join(f"'{k}'" for k in list(pages.ENTITY_CODES) + ["house-report"]) + "]"
 _CODES = "[" + ", ".join(f"'{k}'" for k in pages.ENTITY_CODES.values()) + ", NULL]"
-_URL = f"'https://records.example/bill/119th-congress/' || {_KINDS}[o_custkey % 9 + 1] || '/' || o_orderkey || '?x=1'"
+_URL = f"'https://records.example/bill/119/' || {_KINDS}[o_custkey % 9 + 1] || '/' || o_orderkey || '?x=1'"
 _REF = "o_custkey * CASE WHEN o_orderkey % 11 = 0 THEN 100000 ELSE 1 END"
 
 SQL = {
