@@ -20,6 +20,7 @@ from threadloom.functions.checkpoints import cut
 
 ROWS_PER_TASK = 1_000_000
 SECONDS_PER_BLOCK = 3600
+MAX_NAMED_KEYS = 64
 
 BLOCK = "_block"
 
@@ -67,9 +68,19 @@ def _fold(kind: str, value: Column) -> Column:
 
 
 def split_if_hot(df: DataFrame, keys: list[str], block: Column, rows_per_task: int = ROWS_PER_TASK) -> Column | None:
-    """``block`` when some key has more rows than a task should take, else None (no split needed)."""
+    """None when no key has more rows than a task should take, else the block column.
+
+    Up to ``MAX_NAMED_KEYS`` large keys are named in the column, so that only they are cut; with more of
+    them every key is cut.
+    """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return None if sizes.filter(F.col("_n") > rows_per_task).isEmpty() else block
+    large = sizes.filter(F.col("_n") > rows_per_task).select(*keys).limit(MAX_NAMED_KEYS + 1).collect()
+    if not large:
+        return None
+    if len(large) > MAX_NAMED_KEYS:
+        return block
+    named = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys]) for row in large]
+    return F.when(reduce(lambda a, b: a | b, named), block)
 
 
 def settle(df: DataFrame, block: Column | None) -> DataFrame:
