@@ -1,20 +1,46 @@
-"""Cutting the lineage of iterative jobs on reliable storage."""
+"""Cutting the lineage of iterative jobs on storage that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only a session without one gets a scratch folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session uses a folder next to its warehouse; any other session is refused, because
+    executors could not see a folder of the driver's machine.
+    """
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if configured is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = os.path.join(os.path.dirname(_warehouse(spark)), "spark-warehouse", "checkpoints")
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-checkpoint-"))
+        context.setCheckpointDir(configured)
+    return (configured or context.getCheckpointDir()).rstrip("/")
+
+
+def _warehouse(spark: SparkSession) -> str:
+    return spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that keeps columns compressed."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
