@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["language"]
+MODULES = ["packing", "language"]
 
 
 def load():
