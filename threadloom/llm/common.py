@@ -65,7 +65,7 @@ def components(nodes_edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: every larger neighbour of u is linked to the smallest member of u's neighbourhood
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = stored(large.distinct(), "edges")
         # small star: a node and its smaller neighbours are linked to the smallest of them
@@ -75,9 +75,91 @@ def components(nodes_edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .filter("u <> v").distinct()
         )
         small = stored(small, "edges")
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
+        before, after = (e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() for e in (edges, small))
         edges = small
-        if not changed:
+        if before == after:
             break
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+_SEED = np.random.default_rng(20240229)
+_BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_POWER = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit values."""
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
+
+
+def words(data: np.ndarray, offsets: np.ndarray):
+    """Words of texts: runs of bytes other than blank and 0x09-0x0D.
+
+    Returns 64-bit hashes, first byte and length of each word, and the n + 1 offsets of each text's words.
+    """
+    visible = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # a word ends with its text
+    begins = visible.copy()
+    begins[1:] &= ~visible[:-1] | edge[1:-1]
+    start = np.flatnonzero(begins)
+    ends = visible.copy()
+    ends[:-1] &= ~visible[1:] | edge[1:-1]
+    length = np.flatnonzero(ends) + 1 - start
+    inside = np.flatnonzero(visible)
+    if not len(start):
+        return np.zeros(0, np.uint64), start, length, np.zeros(len(offsets), np.int64)
+    first = np.cumsum(length) - length
+    place = np.arange(len(inside)) - np.repeat(first, length)
+    power = _POWER[np.minimum(place, len(_POWER) - 1)]
+    if place.max() >= len(_POWER):  # words of any length: powers beyond the table are computed
+        far = np.flatnonzero(place >= len(_POWER))
+        power[far] = mix(place[far].astype(np.uint64)) | np.uint64(1)
+    value = np.add.reduceat(mix(_BYTE[data[inside]] + power) * power, first)
+    return mix(value + length.astype(np.uint64)), start, length, np.searchsorted(start, offsets)
+
+
+def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``size`` words in a row within each text, and the n + 1 offsets of each text's shingles.
+
+    A text of fewer words, but at least one, has its whole sequence as one shingle.
+    """
+    n = np.diff(bounds)
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    out = np.cumsum(count) - count
+    text = np.repeat(np.arange(len(n)), count)
+    at = bounds[:-1][text] + np.arange(len(text)) - out[text]
+    value = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        place = at + j
+        present = place < bounds[1:][text]
+        word = np.where(present, hashes[np.minimum(place, max(len(hashes) - 1, 0))] if len(hashes) else 0, np.uint64(j + 1))
+        value = mix(value * np.uint64(0xD6E8FEB86659FD93) + word)
+    return value, np.append(out, len(text))
+
+
+def bit_set(ids: DataFrame, column: str, bits: int = 1 << 23):
+    """A fixed-size bit set over hashes of ``ids``: ``bits / 8`` bytes on the driver, whatever the number of ids.
+
+    Members always test true; others may too.  Test with ``in_bit_set``.
+    """
+    spot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    rows = (
+        ids.select(spot.alias("s")).groupBy(F.shiftright("s", 5).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("set"))
+    )
+    words_ = np.zeros(bits // 32, np.uint32)
+    for r in rows.toLocalIterator():
+        words_[r.word] = r.set
+    return words_, spot
+
+
+def in_bit_set(words_: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (words_[spots >> 5] >> (spots & 31).astype(np.uint32)) & np.uint32(1) == 1
