@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "language", "jaccard_join"]
+MODULES = ["packing", "language", "jaccard_join", "decontaminate"]
 
 
 def load():
