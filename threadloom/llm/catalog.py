@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "language", "jaccard_join", "decontaminate"]
+MODULES = ["packing", "licenses", "decontaminate", "language", "line_dedup", "jaccard_join"]
 
 
 def load():
