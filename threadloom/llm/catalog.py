@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "fingerprints", "licenses", "decontaminate", "language", "line_dedup", "jaccard_join"]
+MODULES = ["packing", "fingerprints", "licenses", "suffixes", "decontaminate", "language", "line_dedup", "jaccard_join"]
 
 
 def load():
