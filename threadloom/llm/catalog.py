@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "context_tree", "fingerprints", "licenses", "suffixes", "decontaminate", "language", "line_dedup", "jaccard_join"]
+MODULES = ["packing", "context_tree", "fingerprints", "licenses", "suffixes", "urls", "decontaminate", "language", "line_dedup", "jaccard_join"]
 
 
 def load():
