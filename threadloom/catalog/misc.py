@@ -38,9 +38,8 @@ def file_graph(s, d):
         .when(F.col("doc_id") % 10 == 7, F.lit("!import missing.md # later"))
         .otherwise(F.concat(F.lit("  !import f"), half, F.lit(".md")))
     )
-    first_line = F.split("text", "\n", -1)[0]
     return doc.select(
-        F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws("\n", directive, first_line).alias("text")
+        F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws("\n", directive, "text").alias("text")
     )
 
 
@@ -135,9 +134,8 @@ def _reconcile(s, d):
 
 def _front_matter(s, d):
     doc = read_table(s, d, "documents")
-    first = F.split("text", "\n", -1)[0]
     text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(
-        F.lit("metadata:\n  lang: "), F.col("lang"), F.lit("\n  source: "), F.col("source"), F.lit("\n---\n "), first))
+        F.lit("metadata:\n  lang: "), F.col("lang"), F.lit("\n  source: "), F.col("source"), F.lit("\n---\n "), F.col("text")))
     out = sections.front_matter(doc.select("doc_id", text.alias("text")))
     return out.select("doc_id", F.element_at("metadata", "lang").alias("lang"), F.element_at("metadata", "source").alias("source"), "description")
 
@@ -181,7 +179,7 @@ def _text_columns(s, d):
     return doc.select(
         "doc_id", tx.shorten(F.col("text"), 40).alias("short"), tx.preview(F.col("text")).alias("preview"),
         tx.human_bytes(F.octet_length("text") * 1000).alias("size"), tx.to_camel_case(F.concat_ws("_", "lang", "source", F.lit("some-words"))).alias("camel"),
-        tx.indent(tx.shorten(F.col("text"), 200), 2).alias("indented"),
+        tx.indent(F.col("text"), 2).alias("indented"),
     )
 
 
@@ -235,7 +233,7 @@ QUERIES = {
 }
 
 _FILES = """files AS (SELECT doc_id, 'src/f' || doc_id || '.md' AS path, CASE WHEN doc_id = 0 THEN 'start' WHEN doc_id % 10 = 7 THEN '!import missing.md # later'
-  ELSE '  !import f' || (doc_id // 2) || '.md' END AS directive, string_split(text, chr(10))[1] AS body FROM documents)"""
+  ELSE '  !import f' || (doc_id // 2) || '.md' END AS directive, text AS body FROM documents)"""
 _EDGE = "e AS (SELECT doc_id AS a, doc_id // 2 AS b FROM documents WHERE doc_id > 0 AND doc_id % 10 <> 7)"
 _VOTE = "CASE o_orderstatus WHEN 'F' THEN 'Yea' WHEN 'O' THEN 'Nay' ELSE 'Not Voting' END"
 _J = "j AS (SELECT *, " + _VOTE + " AS vote FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
@@ -258,7 +256,7 @@ SELECT 'src/f' || a || '.md' AS path, 'too deep' AS error, depth, chain FROM t W
     "inline_imports": f"""WITH RECURSIVE {_FILES}, t AS (SELECT doc_id AS root, doc_id AS cur, 0 AS depth FROM files
   UNION ALL SELECT root, cur // 2, depth + 1 FROM t WHERE cur > 0 AND cur % 10 <> 7),
 l AS (SELECT root, depth, repeat('  ', depth) AS pad, directive, body, cur > 0 AND cur % 10 <> 7 AS goes_on FROM t JOIN files ON doc_id = cur),
-x AS (SELECT root, -depth AS o, CASE WHEN body <> '' THEN pad || body ELSE body END AS line FROM l UNION ALL SELECT root, -1000, pad || directive FROM l WHERE NOT goes_on)
+x AS (SELECT root, -depth AS o, array_to_string(list_transform(string_split(body, chr(10)), lambda b: CASE WHEN regexp_matches(b, '\\S') THEN pad || b ELSE b END), chr(10)) AS line FROM l UNION ALL SELECT root, -1000, pad || directive FROM l WHERE NOT goes_on)
 SELECT 'src/f' || root || '.md' AS path, string_agg(line, chr(10) ORDER BY o) AS text FROM x GROUP BY root""",
     "dense_steps": """WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS n FROM lineitem),
 p AS (SELECT doc_id, n, CASE WHEN n <= 2 THEN '0' || n ELSE '01.0' || n END AS step_no, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 100 ELSE n END AS o FROM s)
@@ -279,7 +277,7 @@ UNION ALL SELECT o_orderkey, 'Present', unnest(['A', 'B', 'C']) FROM j""",
   CAST(vote = 'Yea' AND o_orderkey % 5 <> 0 AS BIGINT) AS votes_for, CAST(vote = 'Nay' AND o_orderkey % 5 <> 0 AS BIGINT) AS votes_against FROM j)
 SELECT *, yea = votes_for AND nay = votes_against AS agrees FROM c""",
     "front_matter": """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 3 <> 0 THEN source END AS source,
-  regexp_replace(CASE WHEN doc_id % 3 = 0 THEN text ELSE string_split(text, chr(10))[1] END, '^\\s+|\\s+$', '', 'g') AS description FROM documents""",
+  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS description FROM documents""",
     "fill_templates": f"""WITH t AS (SELECT *, {_REF} AS r FROM orders)
 SELECT o_orderkey AS template_id, 'Order ' || o_orderkey || chr(10) || 'for ' || v || ' and ' || v || ' {{kept}}' AS text
 FROM (SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE '' END AS v FROM t JOIN customer ON c_custkey = r)""",
@@ -298,7 +296,7 @@ SELECT doc_id, b.line_no, b.type, b.level, b.text FROM (SELECT doc_id, unnest([
   {'line_no': 5, 'type': 'item', 'level': NULL, 'text': 'one' || chr(10) || 'more'}, {'line_no': 7, 'type': 'item', 'level': NULL, 'text': source},
   {'line_no': 9, 'type': 'quote', 'level': NULL, 'text': 'quoted' || chr(10) || 'twice'}, {'line_no': 11, 'type': 'code', 'level': NULL, 'text': '# no heading' || chr(10)},
   {'line_no': 15, 'type': 'rule', 'level': NULL, 'text': '***'}]) AS b FROM d)""",
-    "text_columns": """WITH d AS (SELECT *, octet_length(encode(text)) * 1000 AS n, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 197) || '...' END AS s FROM documents)
+    "text_columns": """WITH d AS (SELECT *, octet_length(encode(text)) * 1000 AS n, text AS s FROM documents)
 SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS short,
   CASE WHEN length(text) > 400 THEN substr(text, 1, 180) || ' ... ' || substr(text, length(text) - 179) || ' (length: ' || length(text) || ')' ELSE text END AS preview,
   CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size,

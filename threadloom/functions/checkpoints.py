@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -39,8 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that keeps columns compressed."""
+    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that keeps columns compressed.
+
+    Shuffle files of the jobs behind it are of no more use; Spark deletes them once the driver has collected its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -94,10 +94,10 @@ def assemble_streams(chunks: DataFrame, rows_per_block: int = 100_000) -> tuple[
     ``chunks(stream_id, seq, kind, chunk)`` with kind start, chunk or complete.  The text is joined per block
     of sequence numbers first, then per stream.
     """
-    bounds = chunks.groupBy("stream_id").agg(
-        F.min(F.when(F.col("kind") == "start", F.col("seq"))).alias("_from"),
-        F.min(F.when(F.col("kind") == "complete", F.col("seq"))).alias("_to"),
-    )
+    begins = chunks.filter(F.col("kind") == "start").groupBy("stream_id").agg(F.min("seq").alias("_from"))
+    # the end is the first one after the start; an earlier one belongs to no stream
+    ends = chunks.filter(F.col("kind") == "complete").join(begins, "stream_id").filter("seq >= _from").groupBy("stream_id").agg(F.min("seq").alias("_to"))
+    bounds = chunks.select("stream_id").distinct().join(begins, "stream_id", "left").join(ends, "stream_id", "left")
     placed = chunks.join(bounds, "stream_id")
     seq = F.col("seq")
     is_open = F.col("_from").isNotNull() & (seq >= F.col("_from")) & (F.col("_to").isNull() | (seq <= F.col("_to")))

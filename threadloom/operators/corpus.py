@@ -12,8 +12,6 @@ from pyspark.sql import Window as W
 
 from threadloom.functions.text import numbered_lines, split_lines, strip
 
-# Fixed value: files above this size are not searched.
-MAX_SEARCH_BYTES = 10 * 1024 * 1024
 # Fixed value: a report shows at most this many matches.
 REPORT_LIMIT = 100
 # Fixed value: a call in backticks, with or without an assignment before it.
@@ -26,16 +24,22 @@ def _lines_where(docs: DataFrame, key: str, text: str, test) -> DataFrame:
 
 
 def grep(
-    docs: DataFrame, pattern: str, ignore_case: bool = True, max_bytes: int | None = MAX_SEARCH_BYTES,
+    docs: DataFrame, pattern: str, ignore_case: bool = True, max_bytes: int | None = None,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """Lines that match a regular expression, trimmed; larger texts are skipped."""
+    """Lines that match a regular expression, trimmed; with ``max_bytes``, ``too_large`` reports the texts left out."""
     if max_bytes is not None:
         docs = docs.filter(F.octet_length(text) <= max_bytes)
     full = f"(?i){pattern}" if ignore_case else pattern
     return _lines_where(docs, key, text, lambda line: line.rlike(full))
 
 
+def too_large(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts that ``grep`` with ``max_bytes`` leaves out, as errors."""
+    size = F.octet_length(text)
+    return docs.filter(size > max_bytes).select(key, F.lit("too large").alias("error"), size.alias("size"))
+
+
 def find_text(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines containing a text, upper and lower case alike.  Texts without it are dropped before splitting."""
     needle = F.lower(F.lit(query))

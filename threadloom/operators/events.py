@@ -239,11 +239,13 @@ def await_responses(
     return seen.filter(F.col("_side") == 0).select(*keys, *ORDER, status.alias("status"))
 
 
-def attendance_status(attendance: DataFrame, timeout_seconds: int = 30) -> DataFrame:
+def attendance_status(attendance: DataFrame, timeout_seconds: int = 30, as_of: Column | None = None) -> DataFrame:
     """Per meeting, in this order: no required attendee = ready, required rejected = failed, required not
-    resolved in time = timeout, anything pending = pending, else ready."""
+    resolved in time = timeout, anything pending = pending, else ready.  Who has not answered is late once ``as_of``
+    is past the limit; without ``as_of`` it stays pending."""
     required = F.col("role") == "required"
-    late = F.unix_seconds("resolved_at") - F.unix_seconds("created_at") > timeout_seconds
+    resolved = F.coalesce(F.col("resolved_at"), as_of) if as_of is not None else F.col("resolved_at")
+    late = F.unix_seconds(resolved) - F.unix_seconds("created_at") > timeout_seconds
     facts = attendance.groupBy("meeting_id").agg(
         F.bool_or(required).alias("_any"),
         F.coalesce(F.bool_or(required & (F.col("status") == "rejected")), F.lit(False)).alias("_rejected"),

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.checkpoints import cut
+from threadloom.functions.checkpoints import cut, stored
 from threadloom.functions.text import numbered_lines, strip
 
 # Fixed value: an import line with its indent, its path and an optional comment.
 DIRECTIVE = r"^(\s*)!import\s+(.+?)(?:\s*#.*)?$"
-# Fixed value: deepest import that is followed.
+# Fixed value: deepest import that is followed without an error.
 MAX_DEPTH = 10
-# Fixed value: larger files are not imported.
-MAX_IMPORT_BYTES = 1024 * 1024
 
 
 def import_refs(files: DataFrame) -> DataFrame:
@@ -45,8 +43,6 @@ def resolve_import_edges(refs: DataFrame, files: DataFrame, base: str = "", cwd:
     remote = target.rlike(r"^https?://")
     candidates = refs.select("*", F.posexplode(F.transform(places, normal_path)).alias("place", "candidate")).filter(~remote)
     known = files.select(normal_path(F.col("path")).alias("candidate"), F.col("path").alias("imported"))
-    if "size" in files.columns:
-        known = files.filter(F.col("size") <= MAX_IMPORT_BYTES).select(normal_path(F.col("path")).alias("candidate"), F.col("path").alias("imported"))
     found = candidates.join(known, "candidate").groupBy("path", "line_no", "indent", "target").agg(
         F.min_by("imported", "place").alias("imported")
     )
@@ -54,14 +50,20 @@ def resolve_import_edges(refs: DataFrame, files: DataFrame, base: str = "", cwd:
     return found, missing
 
 
+def oversize_imports(edges: DataFrame, files: DataFrame, max_bytes: int = 1024 * 1024) -> DataFrame:
+    """Import lines whose file is larger than ``max_bytes``; ``files`` has path and text.  They stay edges."""
+    large = files.filter(F.octet_length("text") > max_bytes).select(F.col("path").alias("imported"), F.octet_length("text").alias("size"))
+    return edges.join(large, "imported").select("path", "line_no", "imported", F.lit("too large").alias("error"), "size")
+
+
 def import_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """(path, imported, depth) for everything a file imports, and errors with one chain each.
 
     Each round is one join and keeps one chain per pair of files, so many ways between two files do not
-    multiply; the rounds are bounded by the depth.  A file that imports a file on a cycle gets a cycle error,
-    otherwise a chain longer than ``max_depth`` gives a depth error.
+    multiply; pairs that were reached are not walked again.  A file that imports a file on a cycle gets a cycle
+    error, and a chain longer than ``max_depth`` gives a depth error; a file can have both.
     """
-    edge = edges.select(F.col("path").alias("_from"), F.col("imported").alias("_to")).distinct()
+    edge = stored(edges.select(F.col("path").alias("_from"), F.col("imported").alias("_to")).distinct(), "edges")
     layer = cut(edge.select(
         F.col("_from").alias("path"), F.col("_to").alias("imported"), F.lit(1).cast("bigint").alias("depth"),
         F.concat_ws(" -> ", "_from", "_to").alias("chain"),
@@ -70,11 +72,12 @@ def import_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFr
     for depth in range(2, max_depth + 2):
         if layer.isEmpty():
             break
-        layer = cut(
+        found = (
             layer.join(edge, F.col("imported") == F.col("_from")).groupBy("path", F.col("_to").alias("imported"))
             .agg(F.min(F.concat_ws(" -> ", "chain", "_to")).alias("chain"))
             .select("path", "imported", F.lit(depth).cast("bigint").alias("depth"), "chain")
         )
+        layer = cut(found.join(reached.select("path", "imported"), ["path", "imported"], "left_anti"))
         reached = reached.unionByName(layer)
     pairs = reached.filter(F.col("depth") <= max_depth).groupBy("path", "imported").agg(
         F.min("depth").alias("depth"), F.min_by("chain", "depth").alias("chain")
@@ -82,16 +85,15 @@ def import_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFr
     cyclic = pairs.filter(F.col("path") == F.col("imported")).select("imported")
     cycles = pairs.join(cyclic, "imported", "left_semi").select("path", F.lit("cycle").alias("error"), "depth", "chain")
     deep = reached.filter(F.col("depth") > max_depth).select("path", F.lit("too deep").alias("error"), "depth", "chain")
-    errors = cycles.unionByName(deep.join(cycles.select("path").distinct(), "path", "left_anti"))
-    return pairs.select("path", "imported", "depth"), errors
+    return pairs.select("path", "imported", "depth"), cycles.unionByName(deep)
 
 
-def inline_imports(files: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def inline_imports(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Texts with their imports put in place of the import lines, indented like them.
 
     Each round replaces the import lines that are left by the lines of the imported file; a line is found by its
-    position path, so texts are put together once, at the end.  Blank lines are not indented.  Run
-    ``import_closure`` first: files with errors must be left out.
+    position path, so texts are put together once, at the end.  Blank lines are not indented.  Rounds go on until
+    no import line is left, however deep; a file that meets a cycle has no text (``import_closure`` reports it).
     """
     lines = files.select("path", F.inline(numbered_lines(F.col("text")))).select(
         F.col("path").alias("_file"), F.col("line_no").alias("_n"), F.col("line").alias("_line")
@@ -99,23 +101,32 @@ def inline_imports(files: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPT
     imports = edges.select(F.col("path").alias("_file"), F.col("line_no").alias("_n"), "indent", "imported")
     tagged = cut(lines.join(imports, ["_file", "_n"], "left"))
     open_ = tagged.select(
-        F.col("_file").alias("path"), F.array("_n").alias("position"), F.lit("").alias("pad"), "_line", "indent", "imported"
+        F.col("_file").alias("path"), F.array("_n").alias("position"), F.lit("").alias("pad"), "_line", "indent", "imported",
+        F.array("_file").alias("_chain"),
     )
-    done = []
-    for _ in range(max_depth + 1):
+    done, cyclic = [], []
+    while True:
         open_ = cut(open_)
         done.append(open_.filter("imported is null").select("path", "position", "pad", "_line"))
-        waiting = open_.filter("imported is not null").select("path", "position", "pad", "indent", F.col("imported").alias("_file"))
+        again = F.array_contains("_chain", F.col("imported"))
+        cyclic.append(open_.filter(F.col("imported").isNotNull() & again).select("path"))
+        waiting = open_.filter(F.col("imported").isNotNull() & ~again).select(
+            "path", "position", "pad", "indent", F.col("imported").alias("_file"), "_chain"
+        )
         if waiting.isEmpty():
             break
         inner = tagged.select("_file", "_n", "_line", F.col("indent").alias("_i2"), "imported")
         open_ = waiting.join(inner, "_file").select(
             "path", F.concat("position", F.array("_n")).alias("position"), F.concat("indent", "pad").alias("_p"), "_line",
-            F.col("_i2").alias("indent"), "imported", "pad", F.col("indent").alias("_outer"),
-        ).select("path", "position", F.concat("pad", "_outer").alias("pad"), "_line", "indent", "imported")
+            F.col("_i2").alias("indent"), "imported", "pad", F.col("indent").alias("_outer"), F.concat("_chain", F.array("_file")).alias("_chain"),
+        ).select("path", "position", F.concat("pad", "_outer").alias("pad"), "_line", "indent", "imported", "_chain")
     first, *rest = done
     for part in rest:
         first = first.unionByName(part)
+    looped, *others = cyclic
+    for part in others:
+        looped = looped.unionByName(part)
+    first = first.join(looped.distinct(), "path", "left_anti")
     shown = F.when(F.length(strip(F.col("_line"))) > 0, F.concat("pad", "_line")).otherwise(F.col("_line"))
     pieces = first.select("path", F.struct("position", shown.alias("line")).alias("r"))
     return pieces.groupBy("path").agg(

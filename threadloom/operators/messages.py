@@ -276,9 +276,13 @@ def queue_stats(messages: DataFrame, reads: DataFrame, key: str = "recipient", t
 
 
 def lookup_cached(requests: DataFrame, cache: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses) of requests by a content key: 32 hex digits of the SHA-256 of their JSON form."""
+    """(hits, misses) of requests by a content key: 32 hex digits of the SHA-256 of their JSON form.
+
+    Of several responses to one key the latest (column ``ts``, if there is one) counts, then the largest.
+    """
     keyed = requests.withColumn("cache_key", request_key(fields))
-    known = cache.select("cache_key", "response").dropDuplicates(["cache_key"])
+    order = F.struct(*(["ts"] if "ts" in cache.columns else []), "response")
+    known = cache.groupBy("cache_key").agg(F.max_by("response", order).alias("response"))
     return keyed.join(known, "cache_key"), keyed.join(known, "cache_key", "left_anti")
 
 

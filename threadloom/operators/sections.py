@@ -161,7 +161,7 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def front_matter(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Flat keys of a leading ``metadata:`` block and the text after the ``---`` that ends it.
 
-    A text without the block is all description; nested keys are not read.
+    A text without the block is all description; nested keys are not read; of a repeated key the last value counts.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     has = body.startswith("metadata:")
@@ -172,6 +172,9 @@ def front_matter(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             F.regexp_extract(x, r"^\s*([\w-]+)\s*:", 1).alias("key"), strip(F.regexp_replace(x, r"^\s*[\w-]+\s*:", "")).alias("value")
         ),
     )
+    found = pairs
+    later = lambda x, i: F.exists(F.slice(found, i + 2, F.greatest(F.size(found), F.lit(1))), lambda y: y["key"] == x["key"])
+    pairs = F.filter(found, lambda x, i: ~later(x, i))
     return docs.select(
         key, F.when(has, F.map_from_entries(pairs)).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
         strip(F.when(has, F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).otherwise(body)).alias("description"),

@@ -70,17 +70,30 @@ def latest_state(changes: DataFrame, keys: list[str], value: str = "value", orde
 
 
 def effective_settings(layers: DataFrame) -> DataFrame:
-    """Value per key path from the layer of highest precedence; lists are single values."""
-    return layers.groupBy("key_path").agg(
-        F.max_by("value", "precedence").alias("value"), F.max_by("layer", "precedence").alias("layer")
+    """Value per key path from the layer of highest precedence; lists are single values.
+
+    A value of a higher layer also replaces what lower layers hold above or below its path (``a = 9`` and ``a.b = 1``).
+    """
+    best = layers.groupBy("key_path").agg(
+        F.max_by("value", "precedence").alias("value"), F.max_by("layer", "precedence").alias("layer"), F.max("precedence").alias("_level")
     )
+    parts = F.split("key_path", r"\.")
+    above = F.transform(F.expr(r"sequence(1, size(split(key_path, '\\.')) - 1)"), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    below = best.filter(F.size(parts) > 1).select("key_path", "_level", F.explode(above).alias("_up"))
+    outer = best.select(F.col("key_path").alias("_up"), F.col("_level").alias("_up_level"))
+    met = below.join(outer, "_up").filter("_level <> _up_level")
+    lost = met.select(F.when(F.col("_level") < F.col("_up_level"), F.col("key_path")).otherwise(F.col("_up")).alias("key_path")).distinct()
+    return best.join(lost, "key_path", "left_anti").drop("_level")
 
 
 def offload_large(df: DataFrame, column: str, threshold: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(main, side): values longer than ``threshold`` move to a side table named by their content hash."""
+    """(main, side): values longer than ``threshold`` move to a side table keyed by their full content hash.
+
+    ``artifact`` and ``name`` are short labels for people; only ``content_hash`` identifies a value.
+    """
     large = F.length(column) > threshold
     name = F.concat(F.lit("a_"), F.substring(F.sha2(F.col(column), 256), 1, 8))
-    named = df.withColumn("artifact", F.when(large, name))
+    named = df.withColumn("artifact", F.when(large, name)).withColumn("content_hash", F.when(large, F.sha2(F.col(column), 256)))
     main = named.withColumn(column, F.when(F.col("artifact").isNull(), F.col(column)))
-    side = named.filter(F.col("artifact").isNotNull()).select(F.col("artifact").alias("name"), F.col(column).alias("value"))
-    return main, side.dropDuplicates(["name"])
+    side = named.filter(F.col("artifact").isNotNull()).select(F.col("artifact").alias("name"), "content_hash", F.col(column).alias("value"))
+    return main, side.dropDuplicates(["content_hash"])

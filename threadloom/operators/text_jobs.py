@@ -132,12 +132,13 @@ def fill_templates(templates: DataFrame, params: DataFrame, key: str = "template
     """(filled texts, unknown names with their line and column).
 
     ``{$name}`` is replaced from ``params(name, value)``; a null value becomes an empty text.  A template
-    with an unknown name is reported and not filled.
+    with a name that is unknown, or given more than once, is reported and not filled.
     """
     body = F.col(text)
     names = F.regexp_extract_all(body, F.lit(r"\{\$([A-Za-z_]\w*)\}"), F.lit(1))
     uses = templates.select(key, text, F.explode(F.array_distinct(names)).alias("name"))
-    joined = uses.join(params.select("name", "value", F.lit(True).alias("_known")), "name", "left")
+    given = params.groupBy("name").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("_times"))
+    joined = uses.join(given.select("name", "value", F.when(F.col("_times") == 1, F.lit(True)).alias("_known")), "name", "left")
     before = F.expr(f"substring({text}, 1, instr({text}, concat('{{$', name, '}}')) - 1)")
     errors = joined.filter(F.col("_known").isNull()).select(
         key, "name",

@@ -39,13 +39,15 @@ ANALYSIS_SCHEMA = T.StructType([
 ])
 
 
-def read_records(spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*.json") -> DataFrame:
-    """JSON records, one file each, with month and entity recovered from the folders.
+def read_records(spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*.json", multi_line: bool = False) -> DataFrame:
+    """JSON records, one in each line, with month and entity recovered from the folders.
+
+    With ``multi_line`` each file is one record, or an array of records, over any number of lines.
 
     Folders may be plain (``Jan2025/HR498``) or named (``month=Jan2025/entity=HR498``); a missing level is null.
     """
     files = (
-        spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+        spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern).json(root)
     )
     path = F.col("_metadata.file_path")

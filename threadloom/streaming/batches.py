@@ -91,14 +91,17 @@ def assemble_streams_live(chunks: DataFrame, ts: str = "ts", watermark: str = "1
             parts += [[int(s), str(k), c] for s, k, c in zip(pdf["seq"], pdf["kind"], pdf["chunk"])]
             last = max(last, int(pdf["ts"].max().timestamp() * 1000))
         parts.sort(key=lambda p: p[0])
-        ends = [i for i, p in enumerate(parts) if p[1] == "complete"]
-        body = parts[: ends[0] + 1] if ends else []
+        begins = [i for i, p in enumerate(parts) if p[1] == "start"]
+        ends = [i for i, p in enumerate(parts) if p[1] == "complete" and begins and i > begins[0]]
+        before = parts[: begins[0]] if begins else []
+        body = parts[begins[0]: ends[0] + 1] if ends else []
         if body and body[0][1] == "start" and body[-1][0] - body[0][0] + 1 == len(body):
             if state.exists:
                 state.remove()
             texts = [c for _, kind, c in body if kind == "chunk"]
             out = [(group[0], "".join(texts), len(texts), None)]
-            out += [(group[0], c, 1, "already completed") for _, _, c in parts[len(body):]]
+            out += [(group[0], c, 1, "no start") for _, _, c in before]
+            out += [(group[0], c, 1, "already completed") for _, _, c in parts[len(before) + len(body):]]
             yield pd.DataFrame(out, columns=columns)
             return
         state.update((json.dumps({"parts": parts}),))
