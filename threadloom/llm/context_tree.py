@@ -139,7 +139,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         at = at.groupBy(parent.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weight").alias("below"))
         at = stored(at.mapInArrow(weigh, schema + ", stop double"), "nodes")
         tables.append(at)
-    mixture = None
+    mixture, wanted = None, None
     for level, table in enumerate(reversed(tables)):
         own = F.col("stop") * (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
         if mixture is None:
@@ -148,9 +148,12 @@ def gram_scores(grams: DataFrame) -> DataFrame:
             above = mixture.select(F.col("key").alias("up"), F.col("a").alias("a0"), F.col("b").alias("b0"))
             joined = table.withColumn("up", F.expr(f"key & {(1 << 8 * level) - 1}L")).join(above, "up")
             mixture = joined.select("key", (F.col("a0") + F.col("b0") * own).alias("a"), (F.col("b0") * (1 - F.col("stop"))).alias("b"))
-    mixture = stored(mixture.withColumn("context", F.shiftright("key", 8)), "mixture")
-    wanted = grams.select("bucket", _context(SHALLOW - 1).alias("context")).distinct().join(mixture, "context")
-    wanted = wanted.select((F.col("bucket") + 0).alias("bucket"), "key", "a", "b")  # a column of its own, for the cogroup
+        mixture = stored(mixture, "mixture")
+        # a group gets the mixtures of its contexts at every shallow level: a deeper one may be unknown
+        asked = grams.select("bucket", _context(level).alias("context")).distinct()
+        part = asked.join(mixture.withColumn("context", F.shiftright("key", 8)), "context")
+        part = part.select((F.col("bucket") + 0).alias("bucket"), F.lit(level).alias("level"), "key", "a", "b")
+        wanted = part if wanted is None else wanted.unionAll(part)
 
     def down(left, right):
         import pyarrow as pa
@@ -158,9 +161,12 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         gram, n = left.column("gram").to_numpy(), left.column("n").to_numpy().astype(float)
         seen = n > 0
         levels = _levels(gram[seen], n[seen], SHALLOW) if seen.any() else {}
-        order = np.argsort(right.column("key").to_numpy(), kind="stable")
-        key, a, b = (right.column(c).to_numpy()[order] for c in ("key", "a", "b"))
-        known = {SHALLOW - 1: (key, a, b)}
+        known = {}
+        at, *columns = (right.column(c).to_numpy() for c in ("level", "key", "a", "b"))
+        for level in range(SHALLOW):
+            own = [c[at == level] for c in columns]
+            order = np.argsort(own[0], kind="stable")
+            known[level] = tuple(c[order] for c in own)
         for level in sorted(levels):
             nodes = levels[level][0]
             above, up_a, up_b = known[level - 1]
@@ -171,7 +177,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         for j in range(8):
             bit = (target >> (7 - j) & 1).astype(bool)
             one = np.full(len(gram), 0.5)
-            for level in range(SHALLOW - 1, DEPTH + 1):
+            for level in range(DEPTH + 1):
                 if level not in known or not len(known[level][0]):
                     continue
                 nodes, a, b = known[level]
@@ -200,7 +206,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     base_score is 0 and bits have chance one half.  Empty tables give no rows; other columns are ignored; repeated rows
     are scored and counted each.
     """
-    rows = docs.select(F.col("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     size, trained = rows.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
     blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
     trained = trained or 0
