@@ -74,14 +74,28 @@ def pages_to_markdown(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", "url", "markdown", F.length("markdown").cast("bigint").alias("n_chars"))
 
 
+def without_dots(url: Column) -> Column:
+    """Resolve ``.`` and ``..`` parts of an address's path; ``..`` never leaves the root."""
+    shape = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)(/[^?#]*)?(.*)\z"
+    parts = F.split(F.regexp_extract(url, shape, 2), "/", -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))),
+    )
+    folder = F.element_at(parts, -1).isin(".", "..")
+    path = F.concat(F.array_join(kept, "/"), F.when(folder, F.lit("/")).otherwise(F.lit("")))
+    dotted = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/\.\.?(/|[?#]|\z)")
+    return F.when(dotted, F.concat(F.regexp_extract(url, shape, 1), path, F.regexp_extract(url, shape, 3))).otherwise(url)
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """Address of a link seen on a page."""
+    """Address of a link seen on a page, without dot parts."""
     bare = F.regexp_replace(base, r"[?#].*\z", "")
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*\z"), F.concat(bare, F.lit("/"))).otherwise(
         F.regexp_replace(bare, r"[^/]*\z", "")
     )
-    return (
+    return without_dots(
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
         .when(href.startswith("/"), F.concat(origin, href))
@@ -100,9 +114,12 @@ def extract_links(
     is skipped.  ``limit`` keeps the first links of each page.
     """
     shown = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    anchors = F.regexp_extract_all(shown, F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
+    # an anchor without an end reaches to the next one; attributes are read one by one, so data-href is none
+    anchors = F.regexp_extract_all(shown, F.lit(r"""(?is)(<a\s(?:"[^"]*"|'[^']*'|[^'">])*>.*?)(?=</a\s*>|<a\s|\z)"""), F.lit(1))
+    attribute = r"""\s+(?!href[\s=])[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
+    address = rf"""(?is)^<a(?:{attribute})*\s+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
     def resolve(anchor: Column) -> Column:
-        href = unescape(F.regexp_extract(anchor, r"""(?is)^<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+        href = strip(unescape(F.concat(*[F.regexp_extract(anchor, address, i) for i in (1, 2, 3)])))
         label = strip(F.regexp_replace(unescape(F.regexp_replace(anchor, r"(?s)<[^>]*>", " ")), r"\s+", " "))
         target = F.when(F.length(href) > 0, href)
         if redirect_prefix is not None:

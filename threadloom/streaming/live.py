@@ -117,14 +117,17 @@ def stream_log_sink(items: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
 
 def replay_then_follow(history: DataFrame, live: DataFrame, path: str, checkpoint: str, id_column: str = "event_id") -> StreamingQuery:
-    """Write the history once, then follow the live stream without the events the history has."""
+    """Write the history once, then follow the live stream without the events the history has.
+
+    Live ids are remembered over all micro-batches, so each is written once; a restart keeps the history.
+    """
     spark = history.sparkSession
-    history.write.mode("overwrite").parquet(f"{path}/part=history")
+    history.write.mode("ignore").parquet(f"{path}/part=history")
     known = spark.read.parquet(f"{path}/part=history").select(id_column)
-    fresh = live.join(known, id_column, "left_anti")
+    fresh = live.dropDuplicates([id_column]).join(known, id_column, "left_anti")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([id_column]).write.mode("overwrite").parquet(f"{path}/part=live-{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/part=live-{batch_id}")
 
     return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
