@@ -111,7 +111,8 @@ def _settings(s, d):
     e = log(s, d)
     layers = e.select(
         F.concat(F.lit("layer"), F.col("event_id").cast("string")).alias("layer"), F.col("event_id").alias("precedence"),
-        F.concat_ws(".", F.col("agent_id").cast("string"), "event_type").alias("key_path"), F.col("payload").alias("value"),
+        # a signup sets the whole branch of an agent, other events set a leaf of it
+        F.concat_ws(".", F.col("agent_id").cast("string"), F.when(F.col("event_type") != "signup", F.col("event_type"))).alias("key_path"), F.col("payload").alias("value"),
     )
     return state.effective_settings(layers)
 
@@ -277,7 +278,9 @@ x AS (SELECT coalesce(p.session_id, c.session_id) AS session_id, coalesce(p.name
     "state_changes": f"WITH {_SNAP}, {_DIFFS} SELECT session_id, step, name, new_value, change FROM diffs d WHERE change IN ('new', 'changed') AND step > (SELECT min(step) FROM st WHERE st.session_id = d.session_id)",
     "deleted_keys": f"WITH {_SNAP}, {_HALVES} SELECT session_id, name FROM halves a WHERE half = 1 AND name <> '_error' AND NOT EXISTS (SELECT 1 FROM halves b WHERE b.session_id = a.session_id AND b.name = a.name AND b.half = 2)",
     "latest_state": f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY agent_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM log) SELECT agent_id, event_type AS name, value FROM r WHERE k = 1 AND model > 0",
-    "effective_settings": "SELECT user_id || '.' || event_type AS key_path, arg_max(props, event_id) AS value, 'layer' || max(event_id) AS layer FROM events GROUP BY user_id, event_type",
+    "effective_settings": """WITH l AS (SELECT user_id, event_type = 'signup' AS whole, CASE WHEN event_type = 'signup' THEN CAST(user_id AS VARCHAR) ELSE user_id || '.' || event_type END AS key_path,
+  arg_max(props, event_id) AS value, max(event_id) AS e FROM events GROUP BY ALL)
+SELECT key_path, value, 'layer' || e AS layer FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.user_id = a.user_id AND b.whole <> a.whole AND b.e > a.e)""",
     "attendance_status": f"""WITH {_ATT} SELECT meeting_id, count(*) AS attendees, CASE WHEN NOT bool_or(required) THEN 'ready' WHEN bool_or(required AND status = 'rejected') THEN 'failed'
   WHEN bool_or(required AND status <> 'rejected' AND secs > 30) THEN 'timeout' WHEN bool_or(status = 'pending') THEN 'pending' ELSE 'ready' END AS status FROM att GROUP BY meeting_id""",
     "missing_required": f"WITH {_ATT} SELECT meeting_id, agent_id FROM att WHERE required AND status <> 'accepted'",

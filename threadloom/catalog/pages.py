@@ -91,11 +91,11 @@ def _scan_corpus(s, d):
 
 
 def _records(s, d):
-    """Analysis records of each month and region, written to folders as JSON and read back."""
+    """Analysis records of each month, region and priority, many to a folder, written as JSON and read back."""
     root = live.work_folder(s, "records")
     o, c, n = (read_table(s, d, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    first = j.groupBy(F.trunc("o_orderdate", "month").alias("m"), "n_regionkey").agg(F.count(F.lit(1)).alias("k"), F.min("o_orderkey").alias("first"))
+    first = j.groupBy(F.trunc("o_orderdate", "month").alias("m"), "n_regionkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("k"), F.min("o_orderkey").alias("first"))
     made = first.select(
         F.concat(F.lit("Bill "), F.col("first").cast("string")).alias("bill_title"), F.date_format("m", "MM/dd/yyyy").alias("date_of_vote"),
         F.concat(F.col("k").cast("string"), F.lit(" orders")).alias("brief_summary"),
@@ -181,7 +181,7 @@ _CHECK = f"""x AS (SELECT page_id, url, CASE WHEN {_NUM} = '' THEN 'NoNumber' WH
 
 SQL = {
     "scan_corpus": """SELECT 'source=' || source || '/lang=' || lang AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang""",
-    "read_records": """WITH g AS (SELECT date_trunc('month', o_orderdate) AS m, n_regionkey AS r, count(*) AS k, min(o_orderkey) AS f FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+    "read_records": """WITH g AS (SELECT date_trunc('month', o_orderdate) AS m, n_regionkey AS r, o_orderpriority AS p, count(*) AS k, min(o_orderkey) AS f FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
 SELECT 'Bill ' || f AS bill_title, strftime(m, '%m/%d/%Y') AS date_of_vote, k || ' orders' AS brief_summary, CASE WHEN k % 2 = 0 THEN 'even|whole' END AS pros, strftime(m, '%b%Y') AS month, 'HR' || r AS entity FROM g""",
     "write_new_append": "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
     "export_trace_json": f"""WITH RECURSIVE {_SPANS}, t AS (SELECT span_id, span_id AS root_id, CAST(0 AS BIGINT) AS depth FROM sp WHERE parent_id IS NULL OR parent_id NOT IN (SELECT span_id FROM sp)
