@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 
@@ -39,14 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark deletes a statement's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that keeps columns compressed.
 
-    Shuffle files of the jobs behind it are of no more use; Spark deletes them once the driver has collected its garbage.
+    The shuffle files behind it are of no more use and are deleted at the end of the write.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
