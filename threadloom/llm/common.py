@@ -145,21 +145,21 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     return value, np.append(out, len(text))
 
 
-def bit_set(ids: DataFrame, column: str, bits: int = 1 << 23):
-    """A fixed-size bit set over hashes of ``ids``: ``bits / 8`` bytes on the driver, whatever the number of ids.
+def bit_set(values: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
+    """A fixed-size bit set over 64-bit hashes: ``bits / 8`` bytes on the driver, however many values there are.
 
     Members always test true; others may too.  Test with ``in_bit_set``.
     """
-    spot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
     rows = (
-        ids.select(spot.alias("s")).groupBy(F.shiftright("s", 5).alias("word"))
+        values.select(F.pmod(F.col(column), F.lit(bits)).alias("s")).groupBy(F.shiftright("s", 5).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("set"))
     )
-    words_ = np.zeros(bits // 32, np.uint32)
+    found = np.zeros(bits // 32, np.uint32)
     for r in rows.toLocalIterator():
-        words_[r.word] = r.set
-    return words_, spot
+        found[r.word] = r.set
+    return found
 
 
-def in_bit_set(words_: np.ndarray, spots: np.ndarray) -> np.ndarray:
-    return (words_[spots >> 5] >> (spots & 31).astype(np.uint32)) & np.uint32(1) == 1
+def in_bit_set(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    spot = (hashes.view(np.uint64) & np.uint64(len(found) * 32 - 1)).astype(np.int64)
+    return (found[spot >> 5] >> (spot & 31).astype(np.uint32)) & np.uint32(1) == 1

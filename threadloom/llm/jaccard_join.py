@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from threadloom.functions.checkpoints import stored
 from threadloom.llm.common import bit_set, chunks, components, documents, in_bit_set, lower_ascii, mix, shingles, utf8, words
 
-SKETCH_BITS = 20
-SLICE_BITS = 14
+#: Buckets of the token counts that order prefixes: one byte each on every executor.
+SKETCH_BITS = 24
+SLICE_BITS = 16
 #: Longest extension of a prefix: up to this many shared tokens are required.
 MOST_MATCHES = 6
 #: Members of one hub are spread over so many groups.
@@ -23,45 +24,62 @@ def _sets(array, size: int):
     return shingles(hashes, bounds, size)
 
 
-def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
-    """log2 of the corpus count of each of 2**SKETCH_BITS shingle buckets: a fixed 1 MB, whatever the corpus.
+def _level(count: np.ndarray) -> np.ndarray:
+    """One byte in the order of the counts: exact up to 200, then logarithmic."""
+    high = 200 + 2 * np.log2(np.maximum(count, 200) / 200.0)
+    return np.where(count < 200, count, np.minimum(high, 255)).astype(np.uint8)
 
-    It orders tokens from rare to frequent.  Any order gives right results; this one keeps frequent tokens out of
-    prefixes.
+
+def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
+    """Levels of the corpus count of each of 2**SKETCH_BITS shingle buckets: a fixed 16 MB, whatever the corpus.
+
+    They order tokens from rare to frequent.  Any order gives right results; this one keeps frequent tokens out of
+    prefixes.  A task's own counts are sent as bytes, so one above 255 counts as 255 there.
     """
     def count(batches):
         import pyarrow as pa
 
-        total = np.zeros(1 << SKETCH_BITS, np.uint64)
+        waiting, held, total = [], 0, np.zeros(1 << SKETCH_BITS, np.uint8)
+
+        def add():
+            found = np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS)
+            np.minimum(found + total, 255, out=found)
+            total[:] = found
+
         for part in chunks(batches):
             value, _ = _sets(part.column("text"), size)
-            total += np.bincount(value & np.uint64((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint64)
-        if total.any():
-            pieces = total.astype("<u4").reshape(-1, 1 << SLICE_BITS)
-            yield pa.RecordBatch.from_pydict({
-                "slice": pa.array(range(len(pieces)), pa.int32()), "counts": pa.array([p.tobytes() for p in pieces], pa.binary()),
-            })
-
-    def add(batches):
+            waiting.append((value & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32))
+            held += len(value)
+            if held > 1 << 23:
+                add()
+                waiting, held = [], 0
+        if held:
+            add()
+        for at, piece in enumerate(total.reshape(-1, 1 << SLICE_BITS)):
+            if piece.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([at], pa.int32()), "counts": pa.array([piece.tobytes()], pa.binary())})
+
+    def add_slices(batches):
         import pyarrow as pa
 
-        total: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, x in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-                total[at] = total.get(at, np.uint64(0)) + np.frombuffer(x.as_py(), "<u4").astype(np.uint64)
-        level = {k: np.log2(v.astype(float) + 1).astype(np.uint8).tobytes() for k, v in total.items()}
+                piece = np.frombuffer(x.as_buffer(), np.uint8)
+                sums[at] = sums[at] + piece if at in sums else piece.astype(np.uint64)
+        level = {k: _level(v).tobytes() for k, v in sums.items()}
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(level), pa.int32()), "level": pa.array(list(level.values()), pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, level binary").collect()
+    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add_slices, "slice int, level binary")
     levels = np.zeros((1 << SKETCH_BITS - SLICE_BITS, 1 << SLICE_BITS), np.uint8)
-    for r in rows:
+    for r in rows.collect():
         levels[r.slice] = np.frombuffer(r.level, np.uint8)
     return levels.ravel()
 
 
 def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (doc_id, n, s1, s2, prefix): set size, 128-bit set signature, first tokens of the set in the common order."""
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, size))
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, size))
 
     def profile(batches):
         import pyarrow as pa
@@ -97,22 +115,21 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
     ids = pairs.select(F.col("hub").alias("id")).unionAll(pairs.select(F.col("member").alias("id")))
-    bits, _ = bit_set(ids, "id")
+    bits = bit_set(ids.select(F.xxhash64("id").alias("hash")), "hash")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
-            batch = batch.filter(pa.array(in_bit_set(shared.value, batch.column("spot").to_numpy(zero_copy_only=False))))
+            batch = batch.filter(pa.array(in_bit_set(shared.value, batch.column("hash").to_numpy())))
             for part in chunks([batch]):
                 value, bounds = _sets(part.column("text"), size)
                 own = [np.unique(value[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "tokens"])
 
     numbered = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(len(bits) * 32))
-    found = numbered.select("doc_id", "text", spot.alias("spot")).mapInArrow(sets, "doc_id long, tokens binary")
+    found = numbered.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(sets, "doc_id long, tokens binary")
     found = found.join(ids.distinct(), found.doc_id == F.col("id"), "left_semi")
     found = stored(found, "sets")
     members = pairs.join(found, pairs.member == found.doc_id).select("hub", "salt", F.col("member"), "tokens")
@@ -153,6 +170,9 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     1. Documents with one set form a class, represented by the smallest id.
     2. A document's prefix is its n - ceil(t n) + 1 rarest tokens; by the number of candidates that they would bring,
        it is lengthened by l - 1 tokens and then l shared tokens are required of a pair (the smaller l of both).
+       Tokens outside the overlap that a pair's sizes ask for can only stand before so many shared ones: a pair meets
+       through a shared token that stands early enough in both, and the number of shared prefix tokens that is required
+       of it follows from its two sizes and is never below l.
     3. Tokens are joined within size classes (sizes differ by the threshold at most).  First each document is tested
        against one hub per token group, over rounds; pairs within one component need no test any more.  As soon as
        what is left is linear in the tokens, or a round finds no link, all remaining pairs are counted and tested.
@@ -163,55 +183,61 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     profile = stored(_profiles(docs, size, percent), "profiles")
     full = profile.filter("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    need = F.ceil(F.expr(f"(n * {percent} + 0) / 100.0")).cast("long")
-    plain = (F.col("n") - need + 1).cast("int")
-    tokens = classes.select("rep", "n", F.posexplode("prefix").alias("place", "token"), plain.alias("plain"), need.alias("need"))
-    shared = tokens.filter("place < plain").groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    met = tokens.filter("place < plain").join(shared, "token")
+    need = F.expr(f"cast((n * {percent} + 99) div 100 as int)")
+    classes_ = classes.withColumn("need", need).withColumn("plain", F.expr("cast(n as int) - need + 1"))
+    plain = classes_.select(F.explode(F.expr("slice(prefix, 1, plain)")).alias("token"), "rep").repartition("token")
+    met = plain.join(plain.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
     cost = met.groupBy("rep").agg(F.sum(F.col("df") - 1).alias("cost"))
     # four candidates for each prefix token are cheap; each four times that asks for one more match
     more = F.floor(F.log(F.greatest(F.lit(1.0), F.col("cost") / (4.0 * F.col("plain")))) / F.log(F.lit(4.0)))
     matches = F.least(F.lit(MOST_MATCHES), F.greatest(F.lit(1), F.least(F.col("need"), 1 + more))).cast("int")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    rows = (
-        tokens.join(cost, "rep").withColumn("matches", matches).filter("place < plain + matches - 1")
-        .select("rep", "n", "matches", "cost", "plain", "token", F.explode(F.array(step, step + 1)).alias("step"), step.alias("own"))
-    )
-    crowded = rows.groupBy("token", "step").agg(F.count("*").alias("members"), F.max("own").alias("top")).filter("members > 1 and top = step")
-    rows = stored(rows.join(crowded.select("token", "step"), ["token", "step"], "left_semi"), "tokens")
+    chosen = classes_.join(cost, "rep").withColumn("matches", matches).withColumn("own", step)
+    chosen = chosen.withColumn("length", F.expr("plain + matches - 1"))
+    spread = chosen.select(F.posexplode(F.expr("slice(prefix, 1, length)")).alias("place", "token"), "rep").repartition("token")
+    spread = spread.join(spread.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token", "left_semi")
+    traits = chosen.select("rep", "n", "matches", "cost", "length", "own")
+    rows = spread.join(traits, "rep").withColumn("step", F.explode(F.array("own", F.col("own") + 1)))
+    rows = stored(rows, "tokens")
+    prefixes = chosen.select("rep", F.expr("slice(prefix, 1, length)").alias("tokens"))
     links, tested = None, None
-    found = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    found = None
     before = None
     while True:
-        labelled = rows.join(found, rows.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        labelled = stored(labelled, "labelled")
+        if found is None:
+            labelled = rows.withColumn("component", F.col("rep"))
+        else:
+            labelled = rows.join(found, rows.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+            labelled = stored(labelled, "labelled")
         parts = labelled.groupBy("token", "step", "component").agg(F.count("*").alias("c"))
         left = parts.groupBy("token", "step").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("k")).filter("k > 1")
         todo, most = left.agg(F.sum(F.expr("(m * m - s) / 2")), F.sum("m")).first()
         if not todo:
             break
         labelled = labelled.join(left.select("token", "step"), ["token", "step"], "left_semi")
-        import os
-        if os.environ.get("SHOW"):
-            print("todo", todo, most, labelled.count(), flush=True)
-        final = todo <= 2 * most or before is not None and todo > 0.7 * before
+        rows = labelled.drop("component")  # groups of one component are done
+        final = todo <= 20 * most or before is not None and todo > 0.4 * before
         before = todo
         x, y = labelled.alias("x"), labelled.alias("y")
-        sizes = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"
+        # overlap that the threshold asks for, and so many shared tokens stand in both prefixes then
+        overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+        wanted = F.expr(f"greatest(least(x.matches, y.matches), least(x.length - x.n, y.length - y.n) + {overlap})").alias("wanted")
+        sizes = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and x.place <= x.n - {overlap} and y.place <= y.n - {overlap}"
         if final:
             meet = x.join(y, F.expr(f"x.token = y.token and x.step = y.step and x.rep < y.rep and x.component <> y.component and {sizes} "
                                     "and (x.own = x.step or y.own = y.step)"))
-            wanted = F.expr("least(x.matches, y.matches)")
         else:
-            hubs = labelled.groupBy("token", "step").agg(F.max_by(F.struct("rep", "n", "component", "matches"), F.struct("cost", -F.col("rep"))).alias("hub"))
+            hubs = labelled.groupBy("token", "step").agg(F.max_by(F.struct("rep", "n", "component", "matches", "length", "place"), F.struct("cost", -F.col("rep"))).alias("hub"))
             hubs = hubs.select("token", "step", "hub.*")
             meet = hubs.alias("x").join(y, F.expr(f"x.token = y.token and x.step = y.step and x.rep <> y.rep and x.component <> y.component and {sizes}"))
-            wanted = F.greatest(F.expr("least(x.matches, y.matches)"), F.ceil(F.expr("y.plain / 4")).cast("int"))
-        pairs = meet.groupBy(F.expr("x.rep").alias("hub"), F.expr("y.rep").alias("member")).agg(F.count("*").alias("hits"), F.first(wanted).alias("wanted"))
-        if not final:  # one hub for each member: that with most shared tokens
-            pairs = pairs.filter("hits >= wanted").groupBy("member").agg(F.max_by("hub", F.struct("hits", -F.col("hub"))).alias("hub"))
-        else:  # a pair within one size class meets in one group only; one of two classes meets in the upper one
-            pairs = pairs.filter("hits >= wanted")
+        pairs = meet.select(F.expr("x.rep").alias("hub"), F.expr("y.rep").alias("member"), wanted)
+        pairs = pairs.groupBy("hub", "member").agg(F.count("*").alias("early"), F.max("wanted").alias("wanted"))
+        if not final:  # one hub for each member: that with most early shared tokens
+            pairs = pairs.groupBy("member").agg(F.max_by(F.struct("hub", "wanted"), F.struct("early", -F.col("hub"))).alias("best")).select("best.*", "member")
+        # the multi-match test: shared tokens of both prefixes
+        pairs = pairs.join(prefixes.select(F.col("rep").alias("hub"), F.col("tokens").alias("p")), "hub")
+        pairs = pairs.join(prefixes.select(F.col("rep").alias("member"), F.col("tokens").alias("q")), "member")
+        pairs = pairs.filter(F.size(F.array_intersect("p", "q")) >= F.col("wanted"))
         pairs = stored(pairs.select("hub", "member"), "pairs")
         if final and tested is not None:
             pairs = pairs.join(tested, ["hub", "member"], "left_anti").join(
@@ -223,7 +249,9 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
         if final:
             break
     member = full.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "rep")
-    placed = member.join(found, member.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    if found is not None:
+        member = member.join(found, member.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("rep"))
+    placed = member.withColumnRenamed("rep", "component")
     placed = placed.groupBy("doc_id").agg(F.min("component").alias("component"))
     return profile.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
