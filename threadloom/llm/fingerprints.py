@@ -88,11 +88,11 @@ def edited_fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
     printed = fingerprint(texts, "text", "fp", gram, window)
     # a null id joins as well: an extra column keeps it apart from all numbers
     tag = lambda c: (F.coalesce(c, F.lit(0)).alias("k"), c.isNull().alias("z"))
-    printed = printed.select(*tag(F.col("doc_id")), "th", "doc_id", "text", "fp")
+    printed = printed.select(*tag(F.col("doc_id")), "th", "text", "fp")  # the same columns for both joins: one shuffle
     take = keys.select(*tag(F.col("next_id")), F.col("next_th").alias("th"), F.col("doc_id").alias("to"), F.col("th").alias("to_th"), F.expr("n div 2").alias("half"))
     given = printed.join(take, ["k", "z", "th"]).select(
         *tag(F.col("to")), F.col("to_th").alias("th"), F.col("half"), F.expr("substring(text, 1, cast(half as int))").alias("tail"), F.col("fp").alias("next_fp"))
-    both = printed.join(given, ["k", "z", "th"])
+    both = printed.join(given, ["k", "z", "th"]).withColumn("doc_id", F.when(~F.col("z"), F.col("k")))
     edited = F.expr("concat(substring(text, 1, cast(char_length(text) - half as int)), tail)")
     both = _fixed(both.select("doc_id", "text", "fp", "next_fp", "half", "tail"), edited=edited).drop("half", "tail")
     both = both.withColumn("n_chars", F.char_length("text").cast("long"))
