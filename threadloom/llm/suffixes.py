@@ -12,8 +12,9 @@ from threadloom.llm.common import bit_set, chunks, documents, in_bit_set, mix, u
 #: Bytes of a window that must not repeat, and of the first digit of its anchored suffix.
 THRESHOLD = 100
 DIGIT = 32
-#: Runs that a task sorts at once, before they leave it.
-HELD_RUNS = 1 << 21
+#: Runs or windows that a task sorts at once, before they leave it, and the text bytes that it takes at once.
+HELD_RUNS = 1 << 19
+PART_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(77001)
 _LETTER = _RANDOM.integers(1, 1 << 62, (2, 256), dtype=np.uint64)
@@ -94,10 +95,10 @@ def _merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray):
     return owner[new], start[new], (reach - shift)[np.r_[new[1:] - 1, len(start) - 1]]
 
 
-def _first_of(batch_rows: list, width: int, by: int = 2):
+def _first_of(batch_rows: list, width: int):
     """Split collected rows into those first of their class in (doc_id, th, start) order, and the others.
 
-    Rows are tuples of arrays (digit, class, doc_id, th, start, extent); a class is ``by`` leading columns.
+    Rows are tuples of arrays (digit, class, doc_id, th, start, extent); a class is its digit and class.
     """
     columns = [np.concatenate(c) for c in zip(*batch_rows)]
     order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
@@ -158,7 +159,7 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) ->
 
     def runs(batches):
         held, size = [], 0
-        for part in chunks(batches):
+        for part in chunks(batches, size=PART_BYTES):
             data, offsets = utf8(part.column("text"))
             text, low, high, digits, cls = anchored_runs(data, offsets, threshold, digit)
             ids, ths = part.column("doc_id").to_numpy(), part.column("th").to_numpy()
@@ -180,7 +181,7 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) ->
 
     def windows(batches):
         held, size = [], 0
-        for part in chunks(batches):
+        for part in chunks(batches, size=PART_BYTES):
             data, offsets = utf8(part.column("text"))
             ids, ths = part.column("doc_id").to_numpy(), part.column("th").to_numpy()
             hashes = [Ranges(data, 0), Ranges(data, 1)]
@@ -262,7 +263,7 @@ def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DI
     def remove(batches):
         import pyarrow as pa
 
-        for part in chunks(batches):
+        for part in chunks(batches, size=PART_BYTES):
             data, offsets = utf8(part.column("text"))
             out = []
             for i, own in enumerate(part.column("spans")):
