@@ -233,7 +233,7 @@ SELECT b.doc_id, b.line_no, b.level, max(h.line_no) AS parent_line FROM b LEFT J
     "missing_sources": "SELECT DISTINCT source || '/' || lang AS path FROM documents WHERE lang <> 'en' AND source <> 'src1'",
     "offload_large": "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text END AS text, CASE WHEN length(text) > 500 THEN 'a_' || substr(sha256(text), 1, 8) END AS artifact, CASE WHEN length(text) > 500 THEN sha256(text) END AS content_hash FROM documents",
     "offload_large_side": "SELECT DISTINCT 'a_' || substr(sha256(text), 1, 8) AS name, sha256(text) AS content_hash, text AS value FROM documents WHERE length(text) > 500",
-    "skip_unchanged": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "skip_unchanged": "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "describe": f"""WITH {_SENT}, c AS (SELECT *, regexp_matches(sentence, '(?i){_B}({_ACTIONS})(?:$|[^\\p{{L}}\\p{{N}}_])') AS act, regexp_matches(sentence, '(?i){_B}({_KEYS})') AS keyed
   FROM sent WHERE sentence <> '' AND NOT ({_FURNITURE})),
 p AS (SELECT *, CASE WHEN bool_or(act) OVER w THEN act WHEN bool_or(keyed) OVER w THEN keyed ELSE true END AS chosen FROM c WINDOW w AS (PARTITION BY doc_id)),

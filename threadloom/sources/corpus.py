@@ -53,8 +53,8 @@ def missing_sources(wanted: DataFrame, found: DataFrame, key: str = "path") -> D
     return wanted.select(key).distinct().join(found.select(key), key, "left_anti")
 
 
-def with_hash(docs: DataFrame, text: str = "text", digits: int = 16) -> DataFrame:
-    return docs.withColumn("content_hash", F.substring(F.sha2(F.col(text), 256), 1, digits))
+def with_hash(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.withColumn("content_hash", F.sha2(F.col(text), 256))
 
 
 def skip_unchanged(inputs: DataFrame, manifest: DataFrame, key: str, text: str = "text") -> DataFrame:

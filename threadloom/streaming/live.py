@@ -90,7 +90,7 @@ def route_stream(
                 try:
                     sink(routed.filter(F.col("subscriber_id") == subscriber), batch_id)
                 except Exception as error:  # noqa: BLE001 - any failure of one sink stays its own
-                    failures.append((subscriber, batch_id, type(error).__name__, str(error)[:2000]))
+                    failures.append((subscriber, batch_id, type(error).__name__, str(error)))
         finally:
             routed.unpersist()
         if failures:
