@@ -155,7 +155,7 @@ def bit_set(values: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("set"))
     )
     found = np.zeros(bits // 32, np.uint32)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # at most bits / 32 rows
         found[r.word] = r.set
     return found
 
