@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables written by the operators that are running, innermost last.
+_open: list[list[str]] = []
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written, and whose own tables are deleted then; its first argument is a DataFrame."""
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        paths: list[str] = []
+        depth = len(_open)
+        _open.append(paths)
+        try:
+            result = operator(df, *args, **kwargs)
+            del _open[depth:]
+            result = stored(result, operator.__name__)
+        finally:
+            del _open[depth:]
+        spark = df.sparkSession
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        return result
+
+    return run
+
+
 #: Spark deletes a statement's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,4 +83,6 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
