@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.checkpoints import stored
+from threadloom.functions.checkpoints import stored, tidy
 from threadloom.llm.common import documents, id_mod, lower_ascii, utf8, words
 
 #: Bytes of context at the deepest level.
@@ -191,6 +191,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     return grams.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(down, "gram long, value double")
 
 
+@tidy
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Scores of all texts by a tree trained on those that are not ``held_out``.
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.checkpoints import stored
+from threadloom.functions.checkpoints import stored, tidy
 from threadloom.llm.common import bit_set, chunks, components, documents, in_bit_set, lower_ascii, mix, shingles, utf8, words
 
 #: Buckets of the token counts that order prefixes: one byte each on every executor.
@@ -161,6 +161,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return dealt.mapInArrow(test, "a long, b long")
 
 
+@tidy
 def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each input row.
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.checkpoints import stored
+from threadloom.functions.checkpoints import stored, tidy
 from threadloom.llm.common import bit_set, chunks, documents, in_bit_set, mix, utf8
 
 #: Bytes of a window that must not repeat, and of the first digit of its anchored suffix.
@@ -228,6 +228,7 @@ def with_texts(keyed: DataFrame, parts: DataFrame) -> DataFrame:
     return texts.drop("hash").join(parts, ["doc_id", "th"])
 
 
+@tidy
 def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept), one for each input row.
 
