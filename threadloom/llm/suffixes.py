@@ -15,6 +15,8 @@ DIGIT = 32
 #: Runs or windows that a task sorts at once, before they leave it, and the text bytes that it takes at once.
 HELD_RUNS = 1 << 19
 PART_BYTES = 1 << 20
+#: The last pass sorts windows by the first bit of their hash, then each half for itself: half the shuffle at a time.
+HALVES = 2
 
 _RANDOM = np.random.default_rng(77001)
 _LETTER = _RANDOM.integers(1, 1 << 62, (2, 256), dtype=np.uint64)
@@ -179,7 +181,7 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) ->
     split = stored(split.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "extent")).alias("runs")), "split-runs")
     together = with_texts(keyed, split)
 
-    def windows(batches):
+    def windows(batches, half):
         held, size = [], 0
         for part in chunks(batches, size=PART_BYTES):
             data, offsets = utf8(part.column("text"))
@@ -194,7 +196,10 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) ->
             order = np.unique(text * (1 << 40) + at)
             text, at = order >> 40, order & ((1 << 40) - 1)
             begin = at + offsets[text]
-            held.append((mix(hashes[0](begin, begin + threshold)), mix(hashes[1](begin, begin + threshold)), ids[text], ths[text], at, np.zeros(len(at), np.int64)))
+            first = mix(hashes[0](begin, begin + threshold))
+            own = np.flatnonzero(first % np.uint64(HALVES) == half)
+            first, begin, text, at = first[own], begin[own], text[own], at[own]
+            held.append((first, mix(hashes[1](begin, begin + threshold)), ids[text], ths[text], at, np.zeros(len(at), np.int64)))
             size += len(at)
             if size > HELD_RUNS:
                 yield _rows(*_first_of(held, threshold))
@@ -202,12 +207,14 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) ->
         if size:
             yield _rows(*_first_of(held, threshold))
 
-    rows = together.mapInArrow(windows, _SCHEMA).repartition("digit")
     order = Window.partitionBy("digit", "class").orderBy("doc_id", "th", "start")
-    last = rows.withColumn("number", F.row_number().over(order)).filter("kind = 1 or number > 1")
     length = F.when(F.col("kind") == 1, F.col("extent")).otherwise(F.lit(threshold))
-    last = last.select("doc_id", "th", F.struct(F.col("start").alias("a"), (F.col("start") + length).alias("b")).alias("span"))
-    return whole.unionAll(last).groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
+    for half in range(HALVES):
+        rows = together.mapInArrow(lambda batches, half=half: windows(batches, half), _SCHEMA).repartition("digit")
+        last = rows.withColumn("number", F.row_number().over(order)).filter("kind = 1 or number > 1")
+        last = last.select("doc_id", "th", F.struct(F.col("start").alias("a"), (F.col("start") + length).alias("b")).alias("span"))
+        whole = whole.unionAll(stored(last, "windows"))
+    return whole.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
 
 
 def with_texts(keyed: DataFrame, parts: DataFrame) -> DataFrame:
