@@ -75,6 +75,15 @@ def test_suffixes(docs, none):
     assert suffixes.remove_repeated(none).count() == 0
 
 
+def test_suffixes_of_repeated_rows(spark):
+    """Rows of one doc_id and text are one document, in one task or several: its first bytes stay in every copy."""
+    passage = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(6))
+    rows = [(1, "left " + passage + " a"), (1, "left " + passage + " a"), (2, "right " + passage + " b"), (2, "right " + passage + " b"), (None, passage[:150]), (None, passage[:150])]
+    for parts in (1, 6):
+        got = suffixes.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (0, 0), (1, 150), (1, 150), (2, 387), (2, 387)]
+
+
 def test_urls(spark):
     rows = [(1, "https://WWW.Example.net/en/x?q", "<title>Good words</title>"), (2, None, None), (3, "no scheme", ""), (4, "http://a.example.com/de/1", None),
             (4, "http://a.example.com/de/1", None), (5, "://", ""), (6, "http://goodwords.org/fr/?a://b", "x" * 100_000), (7, "http://" + "k" * 500 + "/", "")]

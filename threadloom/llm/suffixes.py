@@ -100,14 +100,16 @@ def _merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray):
 def _first_of(batch_rows: list, width: int):
     """Split collected rows into those first of their class in (doc_id, th, start) order, and the others.
 
-    Rows are tuples of arrays (digit, class, doc_id, th, start, extent); a class is its digit and class.
+    Rows equal to the first one in all three come from a repeated document: they are neither.  Rows are tuples of arrays (digit, class, doc_id, th, start, extent); a class is its digit and class.
     """
     columns = [np.concatenate(c) for c in zip(*batch_rows)]
     order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
     columns = [c[order] for c in columns]
     first = np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])]
     ends = columns[4] + columns[5] + width
-    rest = [c[~first] for c in (columns[2], columns[3], columns[4])] + [ends[~first]]
+    head = np.flatnonzero(first)[np.cumsum(first) - 1]
+    later = np.logical_or.reduce([c != c[head] for c in columns[2:5]])
+    rest = [c[later] for c in (columns[2], columns[3], columns[4])] + [ends[later]]
     order = np.lexsort((rest[2], rest[1], rest[0]))
     doc, th, start, end = (c[order] for c in rest)
     owner = np.cumsum(np.r_[0, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]) if len(doc) else np.zeros(0, np.int64)
@@ -136,12 +138,15 @@ def _rows(kept, gone):
 
 
 def _pass(rows: DataFrame) -> DataFrame:
-    """One pass over all tasks' rows: numbers each class's rows and counts a digit's classes; unique suffixes leave."""
+    """One pass over all tasks' rows: numbers each class's rows and counts a digit's classes; unique suffixes leave.
+
+    Rows of a repeated document have one number.
+    """
     dealt = rows.repartition("digit")
     ordered = Window.partitionBy("digit", "class").orderBy("doc_id", "th", "start")
-    numbered = dealt.withColumn("number", F.row_number().over(ordered))
-    numbered = numbered.withColumn("classes", F.sum(F.when(F.col("number") == 1, 1).otherwise(0)).over(Window.partitionBy("digit")))
-    return numbered.filter("kind = 1 or number > 1 or classes > 1")
+    numbered = dealt.withColumn("number", F.dense_rank().over(ordered)).withColumn("row", F.row_number().over(ordered))
+    numbered = numbered.withColumn("classes", F.sum(F.when(F.col("row") == 1, 1).otherwise(0)).over(Window.partitionBy("digit")))
+    return numbered.drop("row").filter("kind = 1 or number > 1 or classes > 1")
 
 
 def repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
@@ -211,7 +216,7 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) ->
     length = F.when(F.col("kind") == 1, F.col("extent")).otherwise(F.lit(threshold))
     for half in range(HALVES):
         rows = together.mapInArrow(lambda batches, half=half: windows(batches, half), _SCHEMA).repartition("digit")
-        last = rows.withColumn("number", F.row_number().over(order)).filter("kind = 1 or number > 1")
+        last = rows.withColumn("number", F.dense_rank().over(order)).filter("kind = 1 or number > 1")
         last = last.select("doc_id", "th", F.struct(F.col("start").alias("a"), (F.col("start") + length).alias("b")).alias("span"))
         whole = whole.unionAll(stored(last, "windows"))
     return whole.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
@@ -220,7 +225,7 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) ->
 def with_texts(keyed: DataFrame, parts: DataFrame) -> DataFrame:
     """Joins texts by (doc_id, th); a fixed-size bit set keeps most other texts from being shuffled.
 
-    Repeated rows come out once.
+    Repeated rows come out each.
     """
     hashed = F.xxhash64("doc_id", "th")
     shared = keyed.sparkSession.sparkContext.broadcast(bit_set(parts.select(hashed.alias("hash")), "hash"))
