@@ -231,6 +231,33 @@ def test_fuzzy_lines(docs, rows):
     assert sum(got[d] != want[d] for d in want) <= 2
 
 
+def test_lines_of_a_template(spark):
+    """Near copies meet inside a family of lines that share a template but are not similar."""
+    r = random.Random(12)
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    head, tail = word(70), word(70)
+    family = [head + word(20) + tail for _ in range(300)]
+    planted = [(x := word(20), head + x + tail, head + x + tail[:-6] + word(6))[1:] for _ in range(60)]
+    lines = family + [line for pair in planted for line in pair]
+    r.shuffle(lines)
+    shingles = {line: {line[i: i + line_dedup.SHINGLE] for i in range(len(line) - line_dedup.SHINGLE + 1)} for line in lines}
+    want = {tuple(sorted(pair)) for pair in linked(shingles, 80)}
+    assert len(want) == len(planted)
+    rows = [(i, line) for i, line in enumerate(lines)]
+    left = {r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = sum(not {a, b} <= left for a, b in want)
+    assert met >= len(want) - 1 and len(left) == len(lines) - met
+
+
+def test_line_blocks_and_rounds(spark, monkeypatch):
+    """Pairs of a bucket that is cut into blocks, each once; the sketch lets every link through."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    n = 30
+    rows = spark.createDataFrame([(k, 7, 100, [0, 0, 0, 0], k % 10) for k in range(n)], "key long, band long, n int, bits array<long>, component long")
+    got = sorted((x.key, x.hub) for x in line_dedup._all_pairs(rows, 0.8).collect())
+    assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if a % 10 != b % 10]
+
+
 def test_tiles():
     item = np.arange(1, 31, dtype=np.uint64)
     text = np.r_[np.arange(900, 910), np.arange(16, 31), np.arange(910, 914), np.arange(1, 16)].astype(np.uint64)
