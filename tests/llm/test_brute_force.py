@@ -292,6 +292,15 @@ def test_url_words(spark):
     assert got == {"casinowin": ["casino", "win"], "theory": ["theory"], "qq": ["qq"]}
 
 
+def test_url_words_of_own_dictionary(spark):
+    """Hosts are no words of their own dictionary: concatenated names are split however often they occur."""
+    text = "<html><title>The ring</title><body>the ring of words <script>thering()</script> http://thering.com/wordring</body></html>"
+    pages = spark.createDataFrame([(i, "http://thering.com/wordring", text) for i in range(50)], "page_id long, url string, html string")
+    counts = urls.word_counts(urls.parsed(pages))
+    names = spark.createDataFrame([("thering",), ("wordsring",)], "name string")
+    assert {r.name: r.words for r in urls.segmented(names, counts).collect()} == {"thering": ["the", "ring"], "wordsring": ["words", "ring"]}
+
+
 def test_url_rules(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
     source = {r.page_id: r.url for r in pages.collect()}

@@ -36,10 +36,13 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """The unigram dictionary: rows (word, n) over lower-case letter runs of all page titles, hosts and paths."""
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)
-    source = F.concat_ws(" ", F.coalesce(title, F.lit("")), "host", "path")
-    runs = F.split(F.lower(source), r"[^\p{L}]+")
+    """The unigram dictionary: rows (word, n) over lower-case letter runs of all page titles and visible texts.
+
+    Hosts and paths are not counted, nor urls inside a text: a name that is to be split would be a known word.
+    """
+    hidden = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", " ")
+    text = F.regexp_replace(F.regexp_replace(hidden, r"<[^>]*>", " "), r"\S*://\S*|&[A-Za-z]+;", " ")
+    runs = F.split(F.lower(text), r"[^\p{L}]+")
     return pages.select(F.explode(runs).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
