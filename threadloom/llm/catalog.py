@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "context_tree", "fingerprints", "licenses", "suffixes", "urls", "decontaminate", "language", "line_dedup", "jaccard_join", "clustering", "prefix_trie"]
+MODULES = ["packing", "context_tree", "fingerprints", "licenses", "suffixes", "urls", "decontaminate", "language", "line_dedup", "jaccard_join", "clustering", "prefix_trie", "chat_format"]
 
 
 def load():
