@@ -107,6 +107,26 @@ def _records(s, d):
     return back.select("bill_title", "date_of_vote", "brief_summary", F.array_join("pros", "|").alias("pros"), "month", "entity")
 
 
+def _record_forms(s, d):
+    """Orders stored in the three forms of a record file, lines, an array and one indented object, and two broken files."""
+    root = live.work_folder(s, "forms")
+    o = read_table(s, d, "orders").select(
+        F.date_format("o_orderdate", "MMMyyyy").alias("month"), F.concat(F.lit("Bill "), F.col("o_orderkey").cast("string")).alias("bill_title"),
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("date_of_vote"), F.col("o_orderpriority").alias("brief_summary"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("even"), F.lit("of\nall"))).alias("pros"), (F.col("o_orderkey") % 8).alias("form"))
+    record = F.struct("bill_title", "date_of_vote", "brief_summary", "pros")
+    o = o.select("month", "form", "bill_title", F.to_json(record).alias("line"), F.to_json(record, {"pretty": "true"}).alias("indented"))
+    lines = o.filter("form < 5").select("month", F.lit("HR1").alias("entity"), F.col("line").alias("value"))
+    arrays = o.filter("form in (5, 6)").groupBy("month").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("indented"), ",\n"), F.lit("\n]")).alias("value"))
+    single = o.filter("form = 7").groupBy("month").agg(F.min_by("indented", "bill_title").alias("value"))
+    broken = single.select("month", F.lit("HR4").alias("entity"), F.expr("left(value, length(value) - 2)").alias("value"))
+    for part in (lines, arrays.withColumn("entity", F.lit("HR2")), single.withColumn("entity", F.lit("HR3")), broken):
+        # one file for each folder; a file is one text, or the lines of one
+        part.repartition("month", "entity").write.mode("append").partitionBy("month", "entity").text(root)
+    back = records.read_records(s, root, records.ANALYSIS_SCHEMA, "*.txt")
+    return back.select("month", "entity", "bill_title", "date_of_vote", F.array_join("pros", "|").alias("pros"), F.col("error").isNotNull().alias("is_error"))
+
+
 def _write_new_append(s, d):
     """A new file set, appended to, and a copy under the time of the run."""
     root = live.work_folder(s, "regions")
@@ -129,6 +149,7 @@ def _export_trace(s, d):
 QUERIES = {
     "scan_corpus": _scan_corpus,
     "read_records": _records,
+    "read_record_forms": _record_forms,
     "write_new_append": _write_new_append,
     "export_trace_json": _export_trace,
     "read_pages": lambda s, d: read_pages(s, d).select("page_id", "url", "success", "error"),
@@ -183,6 +204,11 @@ SQL = {
     "scan_corpus": """SELECT 'source=' || source || '/lang=' || lang AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang""",
     "read_records": """WITH g AS (SELECT date_trunc('month', o_orderdate) AS m, n_regionkey AS r, o_orderpriority AS p, count(*) AS k, min(o_orderkey) AS f FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
 SELECT 'Bill ' || f AS bill_title, strftime(m, '%m/%d/%Y') AS date_of_vote, k || ' orders' AS brief_summary, CASE WHEN k % 2 = 0 THEN 'even|whole' END AS pros, strftime(m, '%b%Y') AS month, 'HR' || r AS entity FROM g""",
+    "read_record_forms": """WITH o AS (SELECT strftime(o_orderdate, '%b%Y') AS month, o_orderkey % 8 AS form, 'Bill ' || o_orderkey AS bill_title, strftime(o_orderdate, '%m/%d/%Y') AS date_of_vote,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'even|of' || chr(10) || 'all' END AS pros FROM orders),
+one AS (SELECT month, arg_min(struct_pack(b := bill_title, d := date_of_vote, p := pros), bill_title) AS r FROM o WHERE form = 7 GROUP BY month)
+SELECT month, CASE WHEN form < 5 THEN 'HR1' ELSE 'HR2' END AS entity, bill_title, date_of_vote, pros, false AS is_error FROM o WHERE form < 7
+UNION ALL SELECT month, 'HR3', r.b, r.d, r.p, false FROM one UNION ALL SELECT month, 'HR4', NULL, NULL, NULL, true FROM one""",
     "write_new_append": "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
     "export_trace_json": f"""WITH RECURSIVE {_SPANS}, t AS (SELECT span_id, span_id AS root_id, CAST(0 AS BIGINT) AS depth FROM sp WHERE parent_id IS NULL OR parent_id NOT IN (SELECT span_id FROM sp)
   UNION ALL SELECT s.span_id, t.root_id, t.depth + 1 FROM sp s JOIN t ON s.parent_id = t.span_id)

@@ -105,6 +105,14 @@ def absolute_url(base: Column, href: Column) -> Column:
     )
 
 
+#: An attribute's value: quoted, or up to a blank; a quote that never ends is a plain character.
+ATTRIBUTE_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+#: The rest of a tag up to its end.  All parts are possessive: no recursion and no way back, however long the tag is.
+TAG_REST = rf"(?:[^=>]++|{ATTRIBUTE_VALUE})*+"
+#: The value of the first attribute that is called href; attributes are read one by one, so data-href is none.
+HREF = rf"(?is)\A<a(?:[\s/]*+(?!href[\s=/>])(?:[^\s=>/]++(?:\s*+{ATTRIBUTE_VALUE})?+|{ATTRIBUTE_VALUE}))*+[\s/]*+href\s*+={ATTRIBUTE_VALUE[1:5]}({ATTRIBUTE_VALUE[5:]})"
+
+
 def extract_links(
     pages: DataFrame, limit: int | None = None, redirect_prefix: str | None = None, redirect_parameter: str = "uddg",
 ) -> DataFrame:
@@ -114,13 +122,12 @@ def extract_links(
     is skipped.  ``limit`` keeps the first links of each page.
     """
     shown = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    # an anchor without an end reaches to the next one; attributes are read one by one, so data-href is none
-    anchors = F.regexp_extract_all(shown, F.lit(r"""(?is)(<a\s(?:"[^"]*"|'[^']*'|[^'">])*>.*?)(?=</a\s*>|<a\s|\z)"""), F.lit(1))
-    attribute = r"""\s+(?!href[\s=])[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
-    address = rf"""(?is)^<a(?:{attribute})*\s+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+    # an anchor without an end reaches to the next one
+    anchors = F.regexp_extract_all(shown, F.lit(rf"(?is)(<a(?=[\s/>]){TAG_REST}>.*?)(?=</a\s*>|<a[\s/>]|\z)"), F.lit(1))
     def resolve(anchor: Column) -> Column:
-        href = strip(unescape(F.concat(*[F.regexp_extract(anchor, address, i) for i in (1, 2, 3)])))
-        label = strip(F.regexp_replace(unescape(F.regexp_replace(anchor, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+        value = F.regexp_extract(anchor, HREF, 1)
+        href = strip(unescape(F.regexp_replace(value, r"""(?s)\A"(.*)"\z|\A'(.*)'\z""", "$1$2")))
+        label = strip(F.regexp_replace(unescape(F.regexp_replace(anchor, rf"(?is)<[a-z/!?](?:{TAG_REST})>", " ")), r"\s+", " "))
         target = F.when(F.length(href) > 0, href)
         if redirect_prefix is not None:
             inner = F.try_url_decode(F.regexp_extract(href, rf"[?&]{redirect_parameter}=([^&#]*)", 1))
