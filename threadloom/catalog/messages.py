@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.ordered import time_block
 from threadloom.operators import messages as ops
+from threadloom.operators import queues
 from threadloom.sources.tables import event_log_from_table, messages_from_turns, read_table
 
 
@@ -118,6 +119,14 @@ def _queue_order(s, d):
     return ops.queue_order(q, order=["ts", "seq"], block=time_block(F.col("ts"), 86400)).select("recipient", "seq", "priority", "position")
 
 
+def _bounded_queue(s, d):
+    """Sign-ups come first, purchases read, a queue holds two; blocks of a week, so that a queue spans several."""
+    op = F.when(F.col("event_type") == "signup", "priority").when(F.col("event_type") == "purchase", "get").otherwise("put")
+    q = queue(s, d).select("recipient", "ts", "seq", op.alias("op"))
+    out = queues.bounded_queue(q, 2, "recipient", ["ts", "seq"], time_block(F.col("ts"), 7 * 86400))
+    return out.select("recipient", "seq", "priority", "fate", F.col("by.seq").alias("by_seq"))
+
+
 def batches(spark, d, max_size=5):
     return ops.marker_batches(
         queue(spark, d), F.col("event_type") == "purchase", order=["ts", "seq"], block=time_block(F.col("ts"), 86400), max_size=max_size
@@ -174,6 +183,7 @@ QUERIES = {
     "unread": lambda s, d: ops.unread(messages(s, d), _cursors(s, d)).select("channel_id", "reader", "seq", "position"),
     "mark_read": lambda s, d: ops.mark_read(messages(s, d), _cursors(s, d).drop("last_index")),
     "queue_order": _queue_order,
+    "bounded_queue": _bounded_queue,
     "marker_batches": lambda s, d: batches(s, d).select("recipient", "seq", "segment", "batch"),
     "merge_batch_text": _merge_batch_text,
     "queue_stats": _queue_stats,
@@ -243,6 +253,16 @@ SELECT m.conv_id AS channel_id, reader, turn AS seq, position FROM m JOIN c USIN
 WITH q AS (SELECT user_id AS recipient, event_id AS seq, ts, event_type = 'error' AS priority FROM events),
 r AS (SELECT *, CASE WHEN priority THEN -row_number() OVER (PARTITION BY recipient ORDER BY ts, seq) ELSE row_number() OVER (PARTITION BY recipient ORDER BY ts, seq) END AS k FROM q)
 SELECT recipient, seq, priority, row_number() OVER (PARTITION BY recipient ORDER BY priority DESC, k) AS position FROM r""",
+    "bounded_queue": """
+WITH RECURSIVE m AS (SELECT user_id AS k, event_id AS seq, CASE event_type WHEN 'signup' THEN 'priority' WHEN 'purchase' THEN 'get' ELSE 'put' END AS op,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+q AS (SELECT k, 0::BIGINT AS n, []::BIGINT[] AS held, NULL::BIGINT AS gone, NULL::VARCHAR AS fate, NULL::BIGINT AS by_seq FROM (SELECT DISTINCT k FROM m)
+  UNION ALL SELECT m.k, m.n,
+    CASE m.op WHEN 'get' THEN q.held[2:] WHEN 'put' THEN (CASE WHEN len(q.held) = 2 THEN q.held[2:] ELSE q.held END) || [m.seq] ELSE [m.seq] || (CASE WHEN len(q.held) = 2 THEN q.held[:1] ELSE q.held END) END,
+    CASE WHEN m.op = 'get' THEN q.held[1] WHEN len(q.held) = 2 THEN CASE m.op WHEN 'put' THEN q.held[1] ELSE q.held[2] END END,
+    CASE m.op WHEN 'get' THEN 'read' ELSE 'evicted' END, m.seq
+  FROM q JOIN m ON m.k = q.k AND m.n = q.n + 1)
+SELECT m.k AS recipient, m.seq, m.op = 'priority' AS priority, coalesce(g.fate, 'waiting') AS fate, g.by_seq FROM m LEFT JOIN (SELECT * FROM q WHERE gone IS NOT NULL) g ON g.gone = m.seq AND g.k = m.k WHERE m.op <> 'get'""",
     "marker_batches": f"WITH {_BATCHES} SELECT recipient, seq, segment, batch FROM batches",
     "merge_batch_text": f"""WITH {_BATCHES} SELECT recipient, segment, batch, count(*) AS messages,
   string_agg('Received message from Agent(' || event_type || ')' || CASE WHEN event_type = 'error' THEN ' [in meeting ' || recipient || ']' ELSE '' END || ': ' || props, chr(10) ORDER BY seq) AS text
