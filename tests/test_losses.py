@@ -76,13 +76,3 @@ def test_links_as_a_browser_reads_them(spark):
     got = pages.extract_links(spark.createDataFrame([(1, "https://h.example/p/q/r", html)], "page_id int, url string, html string"))
     assert [(r.label, r.link) for r in got.orderBy("link_no").collect()] == [
         ("one", "https://h.example/p/x y"), ("two", "https://h.example/p/q/c/d?q=../e"), ("three", "https://h.example/f/")]
-
-
-def test_replay_writes_each_live_event_once(spark, tmp_path):
-    schema = "event_id long, payload string"
-    for i, rows in enumerate([[(7, "a"), (1, "h")], [(7, "a"), (8, "b")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/n={i}"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    history = spark.createDataFrame([(1, "h")], schema)
-    live.replay_then_follow(history, source, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 7, 8]

@@ -16,18 +16,23 @@ def members(spark, d):
     return messages(spark, d).select("channel_id", F.col("sender").alias("participant_id")).distinct()
 
 
-def _notify_observers(s, d):
-    events = messages(s, d).withColumn(
-        "recipient",
-        F.when(F.col("seq") % 3 == 0, F.lit(None).cast("string")).when(F.col("sender") == "user", "assistant").otherwise("user"),
-    )
-    watchers = F.array(
+def observed(m):
+    """Messages as stream events: every third one is for everybody."""
+    return m.withColumn(
+        "recipient", F.when(F.col("seq") % 3 == 0, F.lit(None).cast("string")).when(F.col("sender") == "user", "assistant").otherwise("user"))
+
+
+def watchers(s, d):
+    each = F.array(
         F.struct(F.lit("all").alias("observer_id"), F.lit(None).cast("string").alias("target")),
         F.struct(F.lit("of_user").alias("observer_id"), F.lit("user").alias("target")),
         F.struct(F.lit("of_assistant").alias("observer_id"), F.lit("assistant").alias("target")),
     )
-    observers = events.select("channel_id").distinct().select("channel_id", F.inline(watchers))
-    return ops.notify_observers(events, observers).select("channel_id", "seq", "recipient", "observer_id")
+    return messages(s, d).select("channel_id").distinct().select("channel_id", F.inline(each))
+
+
+def _notify_observers(s, d):
+    return ops.notify_observers(observed(messages(s, d)), watchers(s, d)).select("channel_id", "seq", "recipient", "observer_id")
 
 
 def _gate_delivery(s, d):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import word_count
 from threadloom.operators import batching
-from threadloom.sources.tables import EVENT_TABLE_SCHEMA, event_log_from_table, read_table, use_utc
+from threadloom.sources.tables import EVENT_TABLE_SCHEMA, event_log_from_table, messages_from_turns, read_table, use_utc
 from threadloom.streaming import batches, live
 
 HOUR = 3600
@@ -30,8 +30,10 @@ def _rolling(s, d):
 
 
 def _rolling_live(s, d):
-    stream = batches.rolling_batches_live(live_log(s, d), "agent_id", "ts", "event_id", urgent(), 4 * HOUR, 12 * HOUR, "1 hour")
-    return live.run_available(stream, "rolling").withColumn("ids", F.array_join("ids", ","))
+    marks = live.EndMarks(s)
+    stream = batches.rolling_batches_live(marks.add(live_log(s, d), agent_id=-1), "agent_id", "ts", "event_id", urgent(), 4 * HOUR, 12 * HOUR, "1 hour")
+    out = live.run_to_end(stream, "rolling", marks).filter("key <> '-1'")
+    return out.withColumn("ids", F.array_join("ids", ","))
 
 
 def chunks(s, d):
@@ -90,6 +92,51 @@ def _replay(s, d):
     return s.read.parquet(f"{root}/data").select("event_id", "agent_id", "event_type", F.when(F.col("part") == "history", "history").otherwise("live").alias("part"))
 
 
+def live_messages(spark, d):
+    use_utc(spark)
+    schema = spark.read.parquet(f"{d}/conversations.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    return messages_from_turns(raw)
+
+
+def _fan_out_live(s, d):
+    from threadloom.catalog.messages import members
+
+    root = live.work_folder(s, "fan-out")
+    members(s, d).write.parquet(f"{root}/members")
+    live.fan_out_live(live_messages(s, d), lambda spark: spark.read.parquet(f"{root}/members"), f"{root}/data", f"{root}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{root}/data").select("channel_id", "seq", "sender", "recipient")
+
+
+def _observers_live(s, d):
+    from threadloom.catalog.messages import observed, watchers
+
+    root = live.work_folder(s, "observers")
+    watchers(s, d).write.parquet(f"{root}/observers")
+    live.notify_observers_live(observed(live_messages(s, d)), lambda spark: spark.read.parquet(f"{root}/observers"), f"{root}/data", f"{root}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{root}/data").select("channel_id", "seq", "recipient", "observer_id")
+
+
+def _durations_live(s, d):
+    """Views start a call and clicks of the same agent end it, within two hours."""
+    marks = live.EndMarks(s)
+    kind = lambda x: live_log(s, d).filter(F.col("event_type") == x)
+    starts = marks.add(kind("view").select("agent_id", "ts", F.col("event_id").alias("start_id")), agent_id=-1)
+    ends = marks.add(kind("click").select("agent_id", F.col("ts").alias("end_ts")), "end_ts", agent_id=-1)
+    out = live.run_to_end(live.span_durations_live(starts, ends, "agent_id", "2 hours", "1 hour"), "durations", marks)
+    return out.filter("start_id is not null").select("agent_id", "start_id", "duration_us")
+
+
+def _responses_live(s, d):
+    """Sign-ups invite; the agent's purchases within two hours accept, its errors reject."""
+    marks = live.EndMarks(s)
+    invites = marks.add(live_log(s, d).filter("event_type = 'signup'").select("agent_id", "ts", "event_id"), agent_id=-1)
+    answers = live_log(s, d).filter("event_type in ('purchase', 'error')").select("agent_id", "ts", (F.col("event_type") == "purchase").alias("accepted"))
+    out = live.run_to_end(live.await_responses_live(invites, marks.add(answers, agent_id=-1), "agent_id", "2 hours", "1 hour"), "responses", marks)
+    first = F.min(F.struct("responded_at", "status")).alias("first")
+    return out.filter("event_id is not null").groupBy("event_id").agg(first).select("event_id", F.col("first.status").alias("status"))
+
+
 def _route_stream(s, d):
     from threadloom.catalog.messages import subscriptions
 
@@ -131,20 +178,26 @@ def _assembled_live(s, d):
     root = live.work_folder(s, "chunks")
     timed = chunks(s, d).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
     timed.write.parquet(f"{root}/in")
-    stream = s.readStream.schema(timed.schema).parquet(f"{root}/in")
-    out = live.run_available(batches.assemble_streams_live(stream), "assembled")
-    return out.filter("error is null").select(F.col("stream_id").cast("bigint").alias("stream_id"), "text", "chunks")
+    marks = live.EndMarks(s)
+    stream = marks.add(s.readStream.schema(timed.schema).parquet(f"{root}/in"), stream_id=-1, seq=0, kind="start")
+    out = live.run_to_end(batches.assemble_streams_live(stream), "assembled", marks)
+    return out.withColumn("stream_id", F.col("stream_id").cast("bigint")).filter("stream_id <> -1")
 
 
 QUERIES = {
     "rolling_batches": _rolling,
     "rolling_batches_live": _rolling_live,
     "assemble_streams": lambda s, d: batching.assemble_streams(chunks(s, d))[0],
-    "assemble_streams_live": _assembled_live,
+    "assemble_streams_live": lambda s, d: _assembled_live(s, d).filter("error is null").select("stream_id", "text", "chunks"),
+    "assemble_streams_live_errors": lambda s, d: _assembled_live(s, d).filter("error is not null").select("stream_id", "seq", "kind", "error"),
     "assemble_streams_errors": lambda s, d: batching.assemble_streams(chunks(s, d))[1],
     "span_durations": _durations,
     "throughput_live": _live_throughput,
     "latest_state_live": _live_state,
+    "fan_out_live": _fan_out_live,
+    "notify_observers_live": _observers_live,
+    "span_durations_live": _durations_live,
+    "await_responses_live": _responses_live,
     "dedupe_stream": _dedupe,
     "stream_log_sink": _log_sink,
     "replay_then_follow": _replay,
@@ -160,22 +213,31 @@ f AS (SELECT user_id, event_id, k, t, t AS first, urgent AS closes, t + 14400000
       CASE WHEN f.urgent OR m.t - f.t >= 14400000000 THEN f.segment + 1 ELSE f.segment END AS segment,
       CASE WHEN f.urgent OR m.t - f.t >= 14400000000 THEN 0 WHEN fresh THEN f.batch + 1 ELSE f.batch END AS batch
     FROM m JOIN f ON m.user_id = f.user_id AND m.k = f.k + 1))"""
-_FOLD_LIVE = _FOLD.replace("FROM events)", "FROM events WHERE epoch_us(ts) < (SELECT wm FROM w))").replace("RECURSIVE m AS", "RECURSIVE w AS (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 AS wm FROM events), m AS")
 _CHUNKS = """d AS (SELECT doc_id AS stream_id, text, lang, greatest(1, CAST(ceil(length(text) / 100) AS BIGINT)) AS n FROM documents)"""
 
 SQL = {
     "rolling_batches": f"WITH {_FOLD} SELECT user_id AS agent_id, event_id, CAST(segment AS BIGINT) AS segment, CAST(batch AS BIGINT) AS batch FROM f",
-    "rolling_batches_live": f"""WITH {_FOLD_LIVE}, g AS (SELECT user_id, min(t) AS first_us, max(t) AS last_us, count(*) AS messages, string_agg(event_id, ',' ORDER BY k) AS ids, arg_max(closes, k) AS closes, arg_max(deadline, k) AS deadline, max(k) AS k
-  FROM f GROUP BY user_id, segment, batch)
-SELECT CAST(user_id AS VARCHAR) AS key, first_us, last_us, messages, ids FROM g WHERE closes OR deadline <= (SELECT wm FROM w) OR EXISTS (SELECT 1 FROM m WHERE m.user_id = g.user_id AND m.k = g.k + 1)""",
+    "rolling_batches_live": f"""WITH {_FOLD} SELECT CAST(user_id AS VARCHAR) AS key, min(t) AS first_us, max(t) AS last_us, count(*) AS messages, string_agg(event_id, ',' ORDER BY k) AS ids
+FROM f GROUP BY user_id, segment, batch""",
     "assemble_streams": f"WITH {_CHUNKS} SELECT stream_id, text, n AS chunks FROM d WHERE lang <> 'de'",
     "assemble_streams_live": f"WITH {_CHUNKS} SELECT stream_id, text, n AS chunks FROM d WHERE lang <> 'de'",
     "assemble_streams_errors": f"""WITH {_CHUNKS} SELECT stream_id, unnest(generate_series(1, n + 1)) AS seq, CASE WHEN seq = n + 1 THEN 'complete' ELSE 'chunk' END AS kind, 'no start' AS error FROM d WHERE lang = 'de'
+UNION ALL SELECT stream_id, n + 2, 'chunk', 'already completed' FROM d WHERE lang = 'fr'""",
+    "assemble_streams_live_errors": f"""WITH {_CHUNKS} SELECT stream_id, unnest(generate_series(1, n + 1)) AS seq, CASE WHEN seq = n + 1 THEN 'complete' ELSE 'chunk' END AS kind, 'no start' AS error FROM d WHERE lang = 'de'
 UNION ALL SELECT stream_id, n + 2, 'chunk', 'already completed' FROM d WHERE lang = 'fr'""",
     "span_durations": "SELECT event_id AS call_id, CAST(round(value * 1000000) AS BIGINT) AS duration_us FROM events WHERE event_type = 'view' AND value BETWEEN 0 AND 10",
     "throughput_live": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS events FROM events GROUP BY ALL",
     "latest_state_live": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events)
 SELECT user_id AS agent_id, event_type AS name, value FROM r WHERE k = 1 AND CAST(json_extract(props, '$.k') AS BIGINT) % 3 > 0""",
+    "fan_out_live": "WITH m AS (SELECT DISTINCT conv_id, role FROM conversations) SELECT c.conv_id AS channel_id, c.turn AS seq, c.role AS sender, m.role AS recipient FROM conversations c JOIN m ON m.conv_id = c.conv_id AND m.role <> c.role",
+    "notify_observers_live": """
+WITH e AS (SELECT conv_id AS channel_id, turn AS seq, CASE WHEN turn % 3 = 0 THEN NULL WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS recipient FROM conversations),
+o(observer_id, target) AS (VALUES ('all', NULL), ('of_user', 'user'), ('of_assistant', 'assistant'))
+SELECT channel_id, seq, recipient, observer_id FROM e, o WHERE target IS NULL OR recipient IS NULL OR target = recipient""",
+    "span_durations_live": """SELECT a.user_id AS agent_id, a.event_id AS start_id, epoch_us(b.ts) - epoch_us(a.ts) AS duration_us FROM events a JOIN events b ON a.user_id = b.user_id
+WHERE a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS""",
+    "await_responses_live": """WITH r AS (SELECT a.event_id, CASE b.event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'timeout' END AS status, b.ts, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts, b.event_type DESC) AS k FROM events a
+LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type IN ('purchase', 'error') AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS WHERE a.event_type = 'signup') SELECT event_id, status FROM r WHERE k = 1""",
     "dedupe_stream": "SELECT event_id, user_id AS agent_id FROM events",
     "stream_log_sink": "SELECT event_id, user_id AS agent_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, event_type AS type, props AS content FROM events",
     "replay_then_follow": "SELECT event_id, user_id AS agent_id, event_type, CASE WHEN event_type = 'view' THEN 'live' ELSE 'history' END AS part FROM events",

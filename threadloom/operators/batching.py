@@ -129,4 +129,4 @@ def span_durations(starts: DataFrame, ends: DataFrame, key: str, bound: str) ->
     limit = F.expr(f"ts + interval {bound}")
     right = ends.select(F.col(key).alias("_end_key"), F.col("end_ts"))
     joined = starts.join(right, (F.col(key) == F.col("_end_key")) & (F.col("end_ts") >= F.col("ts")) & (F.col("end_ts") <= limit))
-    return joined.select(key, "ts", "end_ts", (F.unix_micros("end_ts") - F.unix_micros("ts")).alias("duration_us"))
+    return joined.select(*starts.columns, "end_ts", (F.unix_micros("end_ts") - F.unix_micros("ts")).alias("duration_us"))

@@ -24,11 +24,16 @@ def fan_out(messages: DataFrame, members: DataFrame, salts: int = 8) -> DataFram
 
 
 def notify_observers(stream_events: DataFrame, observers: DataFrame, salts: int = 8) -> DataFrame:
-    """Observers of the channel see an event when their target or the recipient is null, or both are equal."""
-    joined = salted_join(stream_events, observers.select("channel_id", "observer_id", "target"), ["channel_id"], salts=salts)
-    return joined.filter(
-        F.col("target").isNull() | F.col("recipient").isNull() | (F.col("target") == F.col("recipient"))
-    )
+    """Observers of the channel see an event when their target or the recipient is null, or both are equal.
+
+    One equi-join: an event without a recipient asks for all observers; any other asks for those of its recipient and
+    for those without a target.  No pair is made that is not delivered.
+    """
+    own = lambda c: F.concat(F.lit("="), F.col(c))
+    asked = F.when(F.col("recipient").isNull(), F.array(F.lit("all"))).otherwise(F.array(own("recipient"), F.lit("any")))
+    known = F.array(F.lit("all"), F.when(F.col("target").isNull(), F.lit("any")).otherwise(own("target")))
+    seen = observers.select("channel_id", "observer_id", "target", F.explode(known).alias("_wanted"))
+    return salted_join(stream_events.withColumn("_wanted", F.explode(asked)), seen, ["channel_id", "_wanted"], salts=salts).drop("_wanted")
 
 
 def normalise_prefs(prefs: DataFrame) -> DataFrame:
