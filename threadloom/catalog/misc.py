@@ -151,26 +151,25 @@ def _templates(s, d, side):
 
 
 def keyword_texts(s, d):
-    doc = read_table(s, d, "documents")
-    lines = F.split("text", "\n", -1)
-    at = lambda i: F.coalesce(F.get(lines, F.lit(i)), F.lit("none"))
-    text = F.concat_ws("\n", F.lit("intro"), F.lit("PROS and more"), F.concat(F.lit("- "), at(0)), F.concat(F.lit("• "), F.lit("second")),
-                       F.lit("a long line that is no bullet"), F.lit("Cons:"), F.lit("short"), F.lit("this long line opens the list"),
-                       F.concat(F.lit("  - "), at(1)))
-    return doc.select("doc_id", text.alias("text"))
+    """Each whole text as a list under one keyword and as plain lines under another."""
+    text = F.concat_ws("\n", F.lit("intro"), F.lit("PROS and more"), F.concat(F.lit("- "), F.regexp_replace("text", "\n", "\n- ")), F.lit("• second"),
+                       F.lit("a long line that is no bullet"), F.lit("Cons:"), F.lit("short"), F.lit("this long line opens the list"), F.lit("  - own"),
+                       F.col("text"), F.lit("pros"), F.lit("a long line in a list that is not empty"), F.lit("- third"))
+    return read_table(s, d, "documents").select("doc_id", text.alias("text"))
 
 
 def _symbols(s, d):
-    doc = read_table(s, d, "documents").select("doc_id", "lang", "source")
-    text = F.concat(F.lit("Use $"), F.col("lang"), F.lit(" and $"), F.col("source"), F.lit(" or $"), F.col("lang"), F.lit(" in `$x = Call($"), F.col("lang"), F.lit(")`."))
+    doc = read_table(s, d, "documents").select("doc_id", "lang", "source", "text")
+    text = F.concat(F.col("text"), F.lit(" Use $"), F.col("lang"), F.lit(" and $"), F.col("source"), F.lit(" or $"), F.col("lang"), F.lit(" in `$x = Call($"), F.col("lang"), F.lit(")`. "), F.col("text"))
     return corpus.symbol_index(doc.select("doc_id", text.alias("text")))
 
 
 def _blocks(s, d):
-    """Markdown built from each text: a heading, its first line, a list, a quote, code and a rule."""
-    doc = read_table(s, d, "documents").select("doc_id", "lang", "source", F.split("text", "\n", -1)[0].alias("x"))
-    text = F.concat_ws("\n", F.concat(F.lit("## "), F.col("lang")), F.concat(F.lit("w "), F.col("x")), F.lit("next line"), F.lit(""), F.lit("- one"), F.lit("  more"),
-                       F.concat(F.lit("2. "), F.col("source")), F.lit(""), F.lit("> quoted"), F.lit("> twice"), F.lit("```python"), F.lit("# no heading"), F.lit(""), F.lit("```"), F.lit("***"))
+    """Markdown built around each whole text: a heading, a list, a quote, code that holds the text again, and a rule."""
+    doc = read_table(s, d, "documents")
+    text = F.concat_ws("\n", F.concat(F.lit("## "), F.col("lang")), F.concat(F.lit("w "), F.col("text")), F.lit("next line"), F.lit(""), F.lit("- one"), F.lit("  more"),
+                       F.concat(F.lit("2. "), F.col("source")), F.lit(""), F.lit("> quoted"), F.lit("> twice"), F.lit("```python"), F.lit("# no heading"), F.lit(""), F.col("text"),
+                       F.lit("```"), F.lit("***"), F.regexp_replace("text", "\n", "\n> "), F.lit("~~~"), F.lit("- open code"))
     return sections.markdown_blocks(doc.select("doc_id", text.alias("text")))
 
 
@@ -232,6 +231,8 @@ QUERIES = {
     "registry_transforms": lambda s, d: registry.apply(read_table(s, d, "conversations"), "drop_blank_turns", ("tokens_by", {"key": "role"})),
 }
 
+#: White space of any script at both ends.
+_STRIP = r"regexp_replace({}, '^[\s\x0B\p{{Z}}]+|[\s\x0B\p{{Z}}]+$', '', 'g')"
 _FILES = """files AS (SELECT doc_id, 'src/f' || doc_id || '.md' AS path, CASE WHEN doc_id = 0 THEN 'start' WHEN doc_id % 10 = 7 THEN '!import missing.md # later'
   ELSE '  !import f' || (doc_id // 2) || '.md' END AS directive, text AS body FROM documents)"""
 _EDGE = "e AS (SELECT doc_id AS a, doc_id // 2 AS b FROM documents WHERE doc_id > 0 AND doc_id % 10 <> 7)"
@@ -282,20 +283,34 @@ SELECT *, yea = votes_for AND nay = votes_against AS agrees FROM c""",
 SELECT o_orderkey AS template_id, 'Order ' || o_orderkey || chr(10) || 'for ' || v || ' and ' || v || ' {{kept}}' AS text
 FROM (SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE '' END AS v FROM t JOIN customer ON c_custkey = r)""",
     "fill_templates_errors": f"SELECT o_orderkey AS template_id, 'c' || ({_REF}) AS name, CAST(2 AS BIGINT) AS line, CAST(5 AS BIGINT) AS \"column\" FROM orders WHERE ({_REF}) NOT IN (SELECT c_custkey FROM customer)",
-    "split_by_keyword": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
-x AS (SELECT doc_id, regexp_replace('- ' || a[1], '^\\s+|\\s+$', '', 'g') AS one, regexp_replace('- ' || coalesce(a[2], 'none'), '^\\s+|\\s+$', '', 'g') AS two FROM l)
-SELECT doc_id, 'Pros' AS section, CAST(3 AS BIGINT) AS line_no, regexp_replace(one, '^[-•]\\s+', '') AS item FROM x WHERE regexp_matches(one, '^-\\s')
-UNION ALL SELECT doc_id, 'Pros', 4, 'second' FROM x
-UNION ALL SELECT doc_id, 'Cons', 8, 'this long line opens the list' FROM x
-UNION ALL SELECT doc_id, 'Cons', 9, regexp_replace(two, '^[-•]\\s+', '') FROM x WHERE regexp_matches(two, '^-\\s')""",
-    "symbol_index": """SELECT doc_id, 'variable' AS kind, lang AS symbol, CAST(3 AS BIGINT) AS uses FROM documents UNION ALL SELECT doc_id, 'variable', source, 1 FROM documents
-UNION ALL SELECT doc_id, 'variable', 'x', 1 FROM documents UNION ALL SELECT doc_id, 'call', 'Call($' || lang || ')', 1 FROM documents""",
-    "markdown_blocks": """WITH d AS (SELECT doc_id, lang, source, regexp_replace('w ' || string_split(text, chr(10))[1], '\\s+$', '') AS x FROM documents)
-SELECT doc_id, b.line_no, b.type, b.level, b.text FROM (SELECT doc_id, unnest([
-  {'line_no': 1::BIGINT, 'type': 'heading', 'level': 2::BIGINT, 'text': lang}, {'line_no': 2, 'type': 'paragraph', 'level': NULL, 'text': x || chr(10) || 'next line'},
-  {'line_no': 5, 'type': 'item', 'level': NULL, 'text': 'one' || chr(10) || 'more'}, {'line_no': 7, 'type': 'item', 'level': NULL, 'text': source},
-  {'line_no': 9, 'type': 'quote', 'level': NULL, 'text': 'quoted' || chr(10) || 'twice'}, {'line_no': 11, 'type': 'code', 'level': NULL, 'text': '# no heading' || chr(10)},
-  {'line_no': 15, 'type': 'rule', 'level': NULL, 'text': '***'}]) AS b FROM d)""",
+    "split_by_keyword": f"""WITH t AS (SELECT doc_id, concat_ws(chr(10), 'intro', 'PROS and more', '- ' || replace(text, chr(10), chr(10) || '- '), '• second', 'a long line that is no bullet', 'Cons:', 'short',
+    'this long line opens the list', '  - own', text, 'pros', 'a long line in a list that is not empty', '- third') AS t FROM documents),
+r AS (SELECT doc_id, string_split(t, chr(10)) AS a FROM t), u AS (SELECT doc_id, unnest(a) AS x, CAST(generate_subscripts(a, 1) AS BIGINT) AS line_no FROM r),
+l AS (SELECT doc_id, line_no, {_STRIP.format('x')} AS line FROM u),
+o AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^Pros([^\\p{{L}}\\p{{N}}_]|$)') THEN 'Pros' WHEN regexp_matches(line, '(?i)^Cons([^\\p{{L}}\\p{{N}}_]|$)') THEN 'Cons' END AS open, regexp_matches(line, '^[-•]\\s+') AS bullet FROM l),
+f AS (SELECT *, last_value(open IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM o),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY line_no) AS k FROM f WHERE section IS NOT NULL AND open IS NULL AND (bullet OR length(line) > 20))
+SELECT doc_id, section, line_no, regexp_replace(line, '^[-•]\\s+', '') AS item FROM c WHERE bullet OR k = 1""",
+    "symbol_index": """WITH t AS (SELECT doc_id, text || ' Use $' || lang || ' and $' || source || ' or $' || lang || ' in `$x = Call($' || lang || ')`. ' || text AS t FROM documents),
+u AS (SELECT doc_id, 'variable' AS kind, unnest(regexp_extract_all(t, '\\$([a-zA-Z_][a-zA-Z0-9_]*)', 1)) AS symbol FROM t
+  UNION ALL SELECT doc_id, 'call', unnest(regexp_extract_all(t, '(?s)`(?:.*\\W*=\\W*)?([A-Za-z0-9_]+(?:\\.[A-Za-z0-9_]+)*\\(.*?\\))`', 1)) FROM t)
+SELECT doc_id, kind, symbol, count(*) AS uses FROM u GROUP BY ALL""",
+    "markdown_blocks": f"""WITH t AS (SELECT doc_id, concat_ws(chr(10), '## ' || lang, 'w ' || text, 'next line', '', '- one', '  more', '2. ' || source, '', '> quoted', '> twice', '```python', '# no heading', '', text, '```', '***',
+    replace(text, chr(10), chr(10) || '> '), '~~~', '- open code') AS t FROM documents),
+a AS (SELECT doc_id, string_split(t, chr(10)) AS a FROM t), l AS (SELECT doc_id, unnest(a) AS line, CAST(generate_subscripts(a, 1) AS BIGINT) AS n FROM a),
+f AS (SELECT *, regexp_matches(line, '^\\s{{0,3}}(```|~~~)') AS fence FROM l),
+g AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM f),
+k AS (SELECT *, CASE WHEN inside OR fence THEN 'code' WHEN {_STRIP.format('line')} = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}(\\s|$)') THEN 'heading'
+  WHEN regexp_matches(line, '^\\s{{0,3}}(-(\\s*-){{2,}}|\\*(\\s*\\*){{2,}}|_(\\s*_){{2,}})\\s*$') THEN 'rule' WHEN regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s') THEN 'item'
+  WHEN regexp_matches(line, '^\\s{{0,3}}>') THEN 'quote' ELSE 'paragraph' END AS type FROM g),
+p AS (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM k),
+o AS (SELECT *, CASE WHEN type = 'code' THEN fence AND NOT inside WHEN type IN ('heading', 'rule', 'item', 'blank') THEN true
+  ELSE type IS DISTINCT FROM before AND NOT (type = 'paragraph' AND before IS NOT DISTINCT FROM 'item') END AS opens FROM p),
+b AS (SELECT *, max(CASE WHEN opens THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM o)
+SELECT doc_id, block AS line_no, arg_min(type, n) AS type, max(CASE WHEN type = 'heading' THEN length(regexp_extract(line, '^(#+)', 1)) END) AS level,
+  coalesce(string_agg(CASE WHEN type = 'heading' THEN {_STRIP.format("regexp_replace(line, '^#+|\\s#+\\s*$', '', 'g')")} WHEN type = 'quote' THEN regexp_replace(line, '^\\s{{0,3}}>\\s?', '')
+    WHEN type = 'item' THEN regexp_replace(line, '^\\s*([-*+]|\\d+[.)])\\s+', '') WHEN type = 'paragraph' THEN {_STRIP.format('line')} WHEN fence THEN NULL ELSE line END, chr(10) ORDER BY n), '') AS text
+FROM b WHERE type <> 'blank' GROUP BY doc_id, block""",
     "text_columns": """WITH d AS (SELECT *, octet_length(encode(text)) * 1000 AS n, text AS s FROM documents)
 SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS short,
   CASE WHEN length(text) > 400 THEN substr(text, 1, 180) || ' ... ' || substr(text, length(text) - 179) || ' (length: ' || length(text) || ')' ELSE text END AS preview,

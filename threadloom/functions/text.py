@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,13 @@ def split_lines(text: Column, keep_trailing: bool = True) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, size - 1)).otherwise(lines)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a one-element explode: Spark computes each once, however often later columns use it."""
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def numbered_lines(text: Column) -> Column:
     """array<struct<line_no bigint, line string>>, 1-based."""
     return F.transform(

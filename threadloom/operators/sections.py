@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.ordered import Running, count_rows, running
-from threadloom.functions.text import numbered_lines, split_lines, strip
+from threadloom.functions.ordered import Running, running
+from threadloom.functions.text import numbered_lines, once, split_lines, strip
 
 
 def headings(lines: Column) -> Column:
@@ -107,54 +107,66 @@ def outline(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return last.withColumn("parent_line", F.greatest(*below)).drop(*[f"_l{n}" for n in levels])
 
 
-def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Typed blocks with their first line: headings, paragraphs, list items, quotes, code and rules."""
-    lines = docs.select(key, F.inline(numbered_lines(F.col(text))))
-    fence = F.col("line").rlike(r"^\s{0,3}(```|~~~)")
-    fenced = running(
-        lines.withColumn("_fence", fence), [key], ["line_no"], None,
-        _fences=Running("sum", F.col("_fence").cast("bigint"), inclusive=False),
-    )
-    inside = F.col("_fences") % 2 == 1
-    line = F.col("line")
-    kind = (
-        F.when(inside | F.col("_fence"), F.lit("code"))
-        .when(F.length(strip(line)) == 0, F.lit("blank"))
+def _line_type(line: Column) -> Column:
+    """Type of a line outside of code."""
+    return (
+        F.when(F.length(strip(line)) == 0, F.lit("blank"))
         .when(line.rlike(r"^#{1,6}(\s|\z)"), F.lit("heading"))
         .when(line.rlike(r"^\s{0,3}([-*_])(\s*\1){2,}\s*\z"), F.lit("rule"))
         .when(line.rlike(r"^\s*([-*+]|\d+[.)])\s"), F.lit("item"))
         .when(line.rlike(r"^\s{0,3}>"), F.lit("quote"))
         .otherwise(F.lit("paragraph"))
     )
-    typed = fenced.withColumn("type", kind)
-    before = running(typed, [key], ["line_no"], None, _prev=Running("last", F.col("type"), inclusive=False))
-    # an indented or plain line right after a list item continues it
-    continued = (F.col("type") == "paragraph") & (F.col("_prev") == "item")
-    opens = (
-        F.when(F.col("type") == "code", F.col("_fence") & ~inside)
-        .when(F.col("type").isin("heading", "rule", "item", "blank"), F.lit(True))
-        .otherwise(~F.coalesce(F.col("type") == F.col("_prev"), F.lit(False)) & ~F.coalesce(continued, F.lit(False)))
-    )
-    placed = running(
-        before.withColumn("_opens", F.when(opens, F.col("line_no"))), [key], ["line_no"], None,
-        block_line=Running("last", F.col("_opens")),
-    ).filter(F.col("type") != "blank")
-    shown = (
-        F.when(F.col("type") == "heading", strip(F.regexp_replace(line, r"^#+|\s#+\s*\z", "")))
-        .when(F.col("type") == "quote", F.regexp_replace(line, r"^\s{0,3}>\s?", ""))
-        .when(F.col("type") == "item", F.regexp_replace(line, r"^\s*([-*+]|\d+[.)])\s+", ""))
-        .when(F.col("type") == "paragraph", strip(line))
-        .when(F.col("_fence"), F.lit(None))
-        .otherwise(line)
-    )
-    rows = placed.select(
-        key, "block_line", F.struct("line_no", shown.alias("text"), "type").alias("r"),
-        F.when(F.col("type") == "heading", F.length(F.regexp_extract(line, "^(#+)", 1))).cast("bigint").alias("level"),
-    )
-    blocks = rows.groupBy(key, "block_line").agg(F.sort_array(F.collect_list("r")).alias("_r"), F.max("level").alias("level"))
-    return blocks.select(
-        key, F.col("block_line").alias("line_no"), F.col("_r")[0]["type"].alias("type"), "level",
-        F.array_join(F.transform("_r", lambda x: x["text"]), "\n").alias("text"),
+
+
+def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Typed blocks with their first line: headings, paragraphs, list items, quotes, code and rules.
+
+    All of it is array work inside the row of a text, linear in its lines: nothing is shuffled, only blocks leave the row.
+    """
+    rows = once(docs.select(key, F.col(text).alias("_text")), _lines=numbered_lines(F.coalesce("_text", F.lit("")))).drop("_text")
+    # fences cut a text into parts that are code and parts that are not, in turn; a fence is the first line of its part
+    rows = once(rows, _fences=F.filter("_lines", lambda x: x["line"].rlike(r"^\s{0,3}(```|~~~)")))
+
+    def part(start: Column, stop: Column, code: Column, fence: bool) -> Column:
+        own = F.slice("_lines", start.cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+        return F.transform(own, lambda x, i: F.struct(
+            x["line_no"].alias("line_no"), x["line"].alias("line"), (F.lit(fence) & (i == 0)).alias("fence"),
+            F.when(code | (F.lit(fence) & (i == 0)), F.lit("code")).otherwise(_line_type(x["line"])).alias("type"), (code & (i == 0)).alias("begins")))
+
+    end = F.size("_lines").cast("bigint") + 1
+    after = lambda i: F.coalesce(F.get("_fences", i)["line_no"], end)
+    first = part(F.lit(1).cast("bigint"), after(F.lit(0)), F.lit(False), False)
+    rest = F.transform("_fences", lambda f, i: part(f["line_no"], after(i + 1), i % 2 == 0, True))
+    rows = once(rows, _typed=F.concat(first, F.flatten(rest))).drop("_lines", "_fences")
+
+    def opens(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get("_typed", i - 1)["type"])
+        # an indented or plain line right after a list item continues it
+        continued = (x["type"] == "paragraph") & (before == "item")
+        return (
+            F.when(x["type"] == "code", x["begins"]).when(x["type"].isin("heading", "rule", "item", "blank"), F.lit(True))
+            .otherwise(~F.coalesce(x["type"] == before, F.lit(False)) & ~F.coalesce(continued, F.lit(False)))
+        )
+
+    rows = once(rows, _opens=F.transform(F.filter("_typed", opens), lambda x: x["line_no"]))
+    until = lambda i: F.coalesce(F.get("_opens", i + 1), F.size("_typed").cast("bigint") + 1)
+    own = F.transform("_opens", lambda o, i: F.slice("_typed", o.cast("int"), (until(i) - o).cast("int")))
+    rows = rows.select(key, F.explode(own).alias("_b")).filter(F.col("_b")[0]["type"] != "blank")
+    kind = lambda x: x["type"]
+    shown = lambda x: (
+        F.when(kind(x) == "heading", strip(F.regexp_replace(x["line"], r"^#+|\s#+\s*\z", "")))
+        .when(kind(x) == "quote", F.regexp_replace(x["line"], r"^\s{0,3}>\s?", ""))
+        .when(kind(x) == "item", F.regexp_replace(x["line"], r"^\s*([-*+]|\d+[.)])\s+", ""))
+        .when(kind(x) == "paragraph", strip(x["line"]))
+        .when(x["fence"], F.lit(None))
+        .otherwise(x["line"])
+    )
+    head = F.col("_b")[0]
+    return rows.select(
+        key, head["line_no"].alias("line_no"), head["type"].alias("type"),
+        F.when(head["type"] == "heading", F.length(F.regexp_extract(head["line"], "^(#+)", 1))).cast("bigint").alias("level"),
+        F.array_join(F.transform("_b", shown), "\n").alias("text"),
     )
 
 
@@ -188,12 +200,25 @@ def split_by_keyword(
 
     Bullets are items.  A line longer than 20 characters counts only while its list is still empty.
     """
-    lines = docs.select(key, F.inline(numbered_lines(F.col(text)))).withColumn("line", strip(F.col("line")))
-    opened = F.coalesce(*[F.when(F.col("line").rlike(rf"(?i)^{k}(?![\p{{L}}\p{{N}}_])"), F.lit(k)) for k in keywords])
-    filled = running(lines.withColumn("_open", opened), [key], ["line_no"], None, section=Running("last", F.col("_open")))
-    bullet = F.col("line").rlike(r"^[-\u2022]\s+")
-    some = filled.filter(F.col("section").isNotNull() & F.col("_open").isNull() & (bullet | (F.length("line") > 20)))
-    ranked = running(some, [key, "section"], ["line_no"], None, _n=count_rows())
-    return ranked.filter(bullet | (F.col("_n") == 1)).select(
-        key, "section", "line_no", F.regexp_replace("line", r"^[-\u2022]\s+", "").alias("item")
-    )
+    word = lambda x: F.coalesce(*[F.when(x.rlike(rf"(?i)^{k}(?![\p{{L}}\p{{N}}_])"), F.lit(k)) for k in keywords])
+    bullet = lambda x: x.rlike(r"^[-\u2022]\s+")
+    plain = F.transform(numbered_lines(F.col(text)), lambda x: F.struct(x["line_no"].alias("line_no"), strip(x["line"]).alias("line")))
+    rows = once(docs.select(key, F.coalesce(plain, F.array().cast("array<struct<line_no: bigint, line: string>>")).alias("_p")), _lines=F.col("_p")).drop("_p")
+    opened = F.transform("_lines", lambda x: F.struct(word(x["line"]).alias("section"), x["line_no"].alias("line_no")))
+    rows = once(rows, _open=F.filter(opened, lambda x: x["section"].isNotNull()))
+
+    def part(o: Column, i: Column) -> Column:
+        """The lines below a keyword that may be items."""
+        stop = F.coalesce(F.get("_open", i + 1)["line_no"], F.size("_lines").cast("bigint") + 1)
+        own = F.slice("_lines", (o["line_no"] + 1).cast("int"), (stop - o["line_no"] - 1).cast("int"))
+        return F.struct(o["section"].alias("section"), F.filter(own, lambda x: bullet(x["line"]) | (F.length(x["line"]) > 20)).alias("lines"))
+
+    rows = once(rows, _parts=F.filter(F.transform("_open", part), lambda p: F.size(p["lines"]) > 0)).drop("_lines", "_open")
+    # a keyword may come again: its list is empty only in the first part with lines
+    fresh = lambda p, i: ~F.exists(F.slice("_parts", 1, i), lambda q: q["section"] == p["section"])
+    items = lambda p, i: F.filter(
+        F.transform(p["lines"], lambda x, j: F.struct(
+            p["section"].alias("section"), x["line_no"].alias("line_no"), x["line"].alias("line"), ((j == 0) & fresh(p, i)).alias("first"))),
+        lambda x: bullet(x["line"]) | x["first"])
+    found = rows.select(key, F.inline(F.flatten(F.transform("_parts", items))))
+    return found.select(key, "section", "line_no", F.regexp_replace("line", r"^[-\u2022]\s+", "").alias("item"))
