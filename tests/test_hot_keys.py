@@ -81,7 +81,6 @@ def test_events(log):
     same(events.attribute_parents(log, *flags), events.attribute_parents(log, *flags, **args))
     invites, answers = log.filter(kind("view")), log.filter(kind("click")).withColumn("accepted", F.lit(True))
     same(events.await_responses(invites, answers, ["agent_id"], 9000), events.await_responses(invites, answers, ["agent_id"], 9000, **args))
-    same(events.latency_stats(log, "event_type", "value"), events.latency_stats(log, "event_type", "value", rows_per_task=5))
     same(events.error_report(log, kind="event_type"), events.error_report(log, kind="event_type", rows_per_task=2))
 
 
@@ -92,3 +91,19 @@ def test_batches_spans_steps(spark, log):
     same(spans.chronological(sp, "start", "created"), spans.chronological(sp, "start", "created", rows_per_task=10))
     numbers = spark.createDataFrame([("d", n) for n in ("01", "01.01", "01.02", "01.02.01", "02", "10", "02.01")], "doc_id string, step_no string")
     same(steps.dense_steps(numbers), steps.dense_steps(numbers, rows_per_task=2))
+
+
+def test_exact_quantiles_from_brackets(spark):
+    """A key with ten times as many values as another, many of them equal, and keys with few or no values."""
+    log = spark.range(330_000).selectExpr(
+        "if(id % 11 = 0, 'rare', 'hot') AS k", "if(id % 3 = 0, 7.0D, pmod(xxhash64(id), 1000003) / 7D) AS v", "timestamp_seconds(id) AS ts")
+    few = spark.sql("SELECT * FROM VALUES ('one', 3.0D, timestamp'2024-01-01'), ('none', NULL, timestamp'2024-01-01'), (NULL, 1.0D, timestamp'2024-01-01') AS t(k, v, ts)")
+    log = log.unionAll(few)
+    same(events.latency_stats(log, "k", "v", small_key=1_000_000), events.latency_stats(log, "k", "v", small_key=20_000))
+    got = {r.k: r for r in events.latency_stats(log, "k", "v").collect()}
+    values = sorted(r.v for r in log.filter("k = 'hot'").collect())
+    n = len(values)
+    j, d = 99 * (n + 1) // 100, 99 * (n + 1) % 100
+    assert got["hot"].p99_latency == round((values[j - 1] * (100 - d) + values[j] * d) / 100, 6)
+    assert got["hot"].p50_latency == round((values[(n + 1) // 2 - 1] + values[n // 2]) / 2, 6)
+    assert (got["one"].p50_latency, got["one"].p99_latency, got["none"].p50_latency, set(got)) == (3.0, 3.0, None, {"hot", "rare", "one", "none"})

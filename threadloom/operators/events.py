@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.ordered import (
     ROWS_PER_TASK, Running, count_rows, following, running, settle, split_if_hot, stack_depth, time_block,
 )
+from threadloom.functions.skew import salted_join
 
 ORDER = ["ts", "event_id"]
 
@@ -134,42 +136,58 @@ def usage_by_model(calls: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Error of the rank sketch as a share of the rows is 1 / RANK_ACCURACY; a bracket reaches BRACKET to both sides of a rank.
+RANK_ACCURACY = 100_000
+BRACKET = 1e-4
+#: A key with at most so many values is ranked as a whole.
+SMALL_KEY = 50_000
+
+
 def latency_stats(
-    calls: DataFrame, key: str, latency: str, ts: str = "ts", is_error: str | None = None, width: float = 1.0,
-    rows_per_task: int = ROWS_PER_TASK,
+    calls: DataFrame, key: str, latency: str, ts: str = "ts", is_error: str | None = None, small_key: int = SMALL_KEY,
 ) -> DataFrame:
-    """min, max, mean, p50, p99, throughput and errors per key.
+    """min, max, mean, p50, p99, throughput and errors per key; both quantiles are exact.
 
-    p99 is the exclusive quantile above 100 values, else the maximum.  Exact ranks come from running
-    counts over distinct values, so no group is sorted as a whole; ``width`` is the value range of a block
-    when a key has too many distinct values for one task.
+    p99 is the exclusive quantile above 100 values, else the maximum.  The first read gives totals and, from a rank
+    sketch of fixed size, a bracket of values around each rank.  The second one counts what is below a bracket and the
+    values inside it, some 0.02 % of the rows, and only those are ranked.  Null latencies do not count; a key without any
+    has no quantiles, and a null key is none.
     """
     value = F.col(latency)
-    counts = calls.filter(value.isNotNull()).groupBy(key, latency).agg(F.count(F.lit(1)).alias("_n"))
-    block = split_if_hot(counts, [key], F.floor(value / width).cast("bigint"), rows_per_task)
-    ranked = running(counts, [key], [latency], block, _to=Running("sum", F.col("_n")))
+    calls = calls.filter(F.col(key).isNotNull())
     span = F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))
+    edges = [0.5 - BRACKET, 0.5 + BRACKET, 0.99 - BRACKET, 0.99 + BRACKET]
     totals = calls.groupBy(key).agg(
         F.count(latency).alias("n"), F.min(latency).alias("min_latency"), F.max(latency).alias("max_latency"),
         F.round(F.sum(value.cast("decimal(38,6)")).cast("double") / F.count(latency), 6).alias("avg_latency"),
         F.when(span > 0, F.round(F.count(F.lit(1)) * 1e6 / span, 6)).otherwise(F.lit(0.0)).alias("throughput"),
         (F.count_if(F.col(is_error)) if is_error else F.lit(0).cast("bigint")).alias("errors"),
+        F.percentile_approx(latency, edges, RANK_ACCURACY).alias("_edges"),
     )
-    joined = ranked.join(totals.select(key, "n"), key)
-    at = lambda rank: F.max(F.when((F.col("_to") - F.col("_n") < rank) & (rank <= F.col("_to")), value))
     n = F.col("n")
+    # four ranks: the two in the middle, and the two around the 99th hundredth
     hundredths = (n + 1) * 99
     j = F.floor(hundredths / 100)
-    quantiles = joined.groupBy(key).agg(
-        at(F.floor((n + 1) / 2)).alias("_m1"), at(F.floor(n / 2) + 1).alias("_m2"),
-        at(j).alias("_q1"), at(j + 1).alias("_q2"), F.max(hundredths - j * 100).alias("_delta"),
-    )
-    p99 = F.when(
-        n > 100, (F.col("_q1") * (F.lit(100) - F.col("_delta")) + F.col("_q2") * F.col("_delta")) / 100
-    ).otherwise(F.col("max_latency"))
-    return totals.join(quantiles, key).select(
+    ranks = totals.select(
+        F.col(key).alias("_key"), F.when(n > small_key, F.col("_edges")).alias("_edges"),
+        F.floor((n + 1) / 2).alias("_m1"), (F.floor(n / 2) + 1).alias("_m2"), F.least(j, n).alias("_q1"), F.least(j + 1, n).alias("_q2"))
+    near = salted_join(calls.filter(value.isNotNull()).select(F.col(key).alias("_key"), value.alias("_v")), ranks, ["_key"])
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), F.col("_edges")[2 * i].alias("low"), F.col("_edges")[2 * i + 1].alias("high")) for i in (0, 1)])
+    near = near.select("_key", "_v", "_m1", "_m2", "_q1", "_q2", F.inline(sides)).filter(F.col("high").isNull() | (F.col("_v") <= F.col("high")))
+    inside = F.when(F.col("low").isNull() | (F.col("_v") >= F.col("low")), F.col("_v"))  # null: below the bracket
+    held = near.groupBy("_key", "i", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.min("_m1").alias("_m1"), F.min("_m2").alias("_m2"), F.min("_q1").alias("_q1"), F.min("_q2").alias("_q2"))
+    to = F.sum("_n").over(W.partitionBy("_key", "i").orderBy(F.col("_v").asc_nulls_first()))
+    held = held.withColumn("_to", to)
+    at = lambda i, rank: F.max(F.when((F.col("i") == i) & (F.col("_to") - F.col("_n") < F.col(rank)) & (F.col(rank) <= F.col("_to")), F.col("_v")))
+    found = held.groupBy("_key").agg(at(0, "_m1").alias("_a1"), at(0, "_m2").alias("_a2"), at(1, "_q1").alias("_b1"), at(1, "_q2").alias("_b2"))
+    joined = totals.join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
+    delta = hundredths - j * 100
+    p99 = F.when(n > 100, (F.col("_b1") * (F.lit(100) - delta) + F.col("_b2") * delta) / 100).otherwise(F.col("max_latency"))
+    whole = (n == 0) | F.col("_a1").isNotNull() & F.col("_a2").isNotNull() & F.col("_b1").isNotNull() & F.col("_b2").isNotNull()
+    exact = lambda c: F.when(whole, c).otherwise(F.raise_error(F.lit("a rank lies outside of its bracket")))
+    return joined.select(
         key, "n", "min_latency", "max_latency", "avg_latency",
-        F.round((F.col("_m1") + F.col("_m2")) / 2, 6).alias("p50_latency"), F.round(p99, 6).alias("p99_latency"),
+        exact(F.round((F.col("_a1") + F.col("_a2")) / 2, 6)).alias("p50_latency"), exact(F.round(p99, 6)).alias("p99_latency"),
         "throughput", "errors",
     )
 
