@@ -176,6 +176,24 @@ def test_templates(spark):
     assert [(r.template_id, r.name, r.line, r.column) for r in bad.collect()] == [(3, "z", 2, 4)]
 
 
+def test_typed_parameters(spark):
+    values = {"l": '[1, 2.5, "q\\"u", null, true]', "m": '{"b": {"c": []}, "a": "x y"}', "t": '"plain \\u00e9"', "n": "null", "b": "false", "i": "12", "d": "1.50", "e": "{}"}
+    t = spark.createDataFrame([(1, "|".join("{$%s}" % k for k in values) + "|{$z}|"), (2, "{$gone}")], "template_id int, text string")
+    p = spark.createDataFrame([*values.items(), ("z", None)], "name string, j string").selectExpr("name", "parse_json(j) AS value")
+    good, bad = text_jobs.fill_templates(t, p)
+    assert good.first().text == '[1,2.5,"q\\"u",null,true]|{"a":"x y","b":{"c":[]}}|plain é||False|12|1.5|{}||'
+    assert [r.name for r in bad.collect()] == ["gone"]
+
+
+def test_wanted_parts_of_pages(spark):
+    """Each part alone is what the whole reading gives."""
+    html = "<title>T</title><h2>Yea</h2><ul><li>A<li>B</ul><p>one<p>two <a href=/x>l</a><table><tr><th>H<tr><td>c</table>"
+    page = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string")
+    whole = {r.page_id: r for r in pages.parse_pages(page).collect()}
+    for part in pages.PART_TYPES:
+        assert {r.page_id: r[part] for r in pages.parse_pages(page, (part,)).collect()} == {k: r[part] for k, r in whole.items()}
+
+
 def test_topics_and_adequacy(spark):
     docs = spark.createDataFrame([(1, "A border act", ""), (2, "x", "Healthcare cost"), (3, "nothing", ""), (4, "The commission sets a deadline", "")], "doc_id int, text string, title string")
     got = {r.doc_id: r.topic for r in text_jobs.label_topics(docs, title="title").collect()}

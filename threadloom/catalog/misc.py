@@ -105,7 +105,7 @@ def vote_pages(s, d):
 
 
 def _extract_tables(s, d):
-    rows = pages.extract_tables(pages.parse_pages(vote_pages(s, d)))
+    rows = pages.extract_tables(pages.parse_pages(vote_pages(s, d), ("tables",)))
     shown = F.array_join(F.transform(F.sort_array(F.map_entries("cells")), lambda x: F.concat_ws("=", x["key"], x["value"])), "|")
     return rows.select("page_id", F.col("table_no").cast("bigint").alias("table_no"), F.col("row_no").cast("bigint").alias("row_no"), shown.alias("cells"))
 
@@ -115,21 +115,20 @@ def _udtf_tables(s, d):
     registry.install(s)
     vote_pages(s, d).createOrReplaceTempView("threadloom_vote_pages")
     return s.sql(
-        "SELECT page_id, CAST(t.table_no AS BIGINT) AS table_no, array_join(t.cells, '|') AS cells "
-        "FROM threadloom_vote_pages, LATERAL html_tables(html) t"
+        "SELECT page_id, CAST(table_no AS BIGINT) AS table_no, array_join(cells, '|') AS cells FROM html_tables(TABLE(SELECT page_id, html FROM threadloom_vote_pages))"
     )
 
 
 def _members(s, d):
-    return pages.locate_member_rows(pages.parse_pages(vote_pages(s, d))).select("page_id", "representative", "party", "state", "vote")
+    return pages.locate_member_rows(pages.parse_pages(vote_pages(s, d), ("tables",))).select("page_id", "representative", "party", "state", "vote")
 
 
 def _grouped(s, d):
-    return pages.extract_grouped_lists(pages.parse_pages(vote_pages(s, d))).select("page_id", "group", "name")
+    return pages.extract_grouped_lists(pages.parse_pages(vote_pages(s, d), ("groups",))).select("page_id", "group", "name")
 
 
 def _reconcile(s, d):
-    return ballots.reconcile_pages(pages.parse_pages(vote_pages(s, d)))
+    return ballots.reconcile_pages(pages.parse_pages(vote_pages(s, d), ("text", "tables")))
 
 
 def _front_matter(s, d):
@@ -150,6 +149,18 @@ def _templates(s, d, side):
     return text_jobs.fill_templates(o.select(F.col("o_orderkey").alias("template_id"), text.alias("text")), params)[side]
 
 
+def _typed_templates(s, d):
+    """Customers as parameters of five kinds: a list, a map, a boolean, nothing and a text."""
+    c = read_table(s, d, "customer")
+    k = F.col("c_custkey")
+    made = F.when(k % 5 == 0, F.to_json(F.array(k.cast("string"), F.col("c_name")))).when(k % 5 == 1, F.to_json(F.struct(F.col("c_name").alias("name"), k.alias("no"))))
+    made = made.when(k % 5 == 2, F.lit("true")).when(k % 5 == 3, F.lit("null")).otherwise(F.to_json(F.array("c_name")).substr(F.lit(2), F.length("c_name") + 2))
+    params = c.select(F.concat(F.lit("c"), k.cast("string")).alias("name"), F.parse_json(made).alias("value"))
+    o = read_table(s, d, "orders")
+    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(": {$c"), F.col("o_custkey").cast("string"), F.lit("}!"))
+    return text_jobs.fill_templates(o.select(F.col("o_orderkey").alias("template_id"), text.alias("text")), params)[0]
+
+
 def keyword_texts(s, d):
     """Each whole text as a list under one keyword and as plain lines under another."""
     text = F.concat_ws("\n", F.lit("intro"), F.lit("PROS and more"), F.concat(F.lit("- "), F.regexp_replace("text", "\n", "\n- ")), F.lit("• second"),
@@ -222,6 +233,7 @@ QUERIES = {
     "reconcile_counts": _reconcile,
     "front_matter": _front_matter,
     "fill_templates": lambda s, d: _templates(s, d, 0),
+    "fill_templates_typed": _typed_templates,
     "fill_templates_errors": lambda s, d: _templates(s, d, 1),
     "split_by_keyword": lambda s, d: sections.split_by_keyword(keyword_texts(s, d)),
     "symbol_index": _symbols,
@@ -282,6 +294,8 @@ SELECT *, yea = votes_for AND nay = votes_against AS agrees FROM c""",
     "fill_templates": f"""WITH t AS (SELECT *, {_REF} AS r FROM orders)
 SELECT o_orderkey AS template_id, 'Order ' || o_orderkey || chr(10) || 'for ' || v || ' and ' || v || ' {{kept}}' AS text
 FROM (SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE '' END AS v FROM t JOIN customer ON c_custkey = r)""",
+    "fill_templates_typed": """SELECT o_orderkey AS template_id, 'Order ' || o_orderkey || ': ' || CASE c_custkey % 5 WHEN 0 THEN '["' || c_custkey || '","' || c_name || '"]'
+  WHEN 1 THEN '{"name":"' || c_name || '","no":' || c_custkey || '}' WHEN 2 THEN 'True' WHEN 3 THEN '' ELSE c_name END || '!' AS text FROM orders JOIN customer ON o_custkey = c_custkey""",
     "fill_templates_errors": f"SELECT o_orderkey AS template_id, 'c' || ({_REF}) AS name, CAST(2 AS BIGINT) AS line, CAST(5 AS BIGINT) AS \"column\" FROM orders WHERE ({_REF}) NOT IN (SELECT c_custkey FROM customer)",
     "split_by_keyword": f"""WITH t AS (SELECT doc_id, concat_ws(chr(10), 'intro', 'PROS and more', '- ' || replace(text, chr(10), chr(10) || '- '), '• second', 'a long line that is no bullet', 'Cons:', 'short',
     'this long line opens the list', '  - own', text, 'pros', 'a long line in a list that is not empty', '- third') AS t FROM documents),

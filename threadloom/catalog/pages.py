@@ -75,7 +75,7 @@ def _files(s, d):
 
 
 def _fields(s, d):
-    return ops.extract_page_fields(ops.parse_pages(pages(s, d)))
+    return ops.extract_page_fields(ops.parse_pages(pages(s, d), ("title", "text", "paragraphs")))
 
 
 def _scan_corpus(s, d):
@@ -156,7 +156,7 @@ QUERIES = {
     "page_titles": lambda s, d: ops.page_titles(pages(s, d)),
     "extract_page_fields": lambda s, d: _fields(s, d).select("page_id", "title"),
     "page_summaries": lambda s, d: _fields(s, d).select("page_id", "summary", "opening"),
-    "pages_to_markdown": lambda s, d: ops.pages_to_markdown(ops.parse_pages(pages(s, d))),
+    "pages_to_markdown": lambda s, d: ops.pages_to_markdown(ops.parse_pages(pages(s, d), ("markdown",))),
     "extract_links": lambda s, d: ops.extract_links(pages(s, d)),
     "extract_links_first": lambda s, d: ops.extract_links(pages(s, d), limit=3).select("page_id", "link_no", "link"),
     "link_texts": lambda s, d: ops.link_texts(ops.extract_links(pages(s, d))),

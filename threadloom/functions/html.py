@@ -10,14 +10,20 @@ GROUP_HEADINGS = {"h2", "h3", "h4"}
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li"}
 
 
+#: What can be read from a page.
+PARTS = ("title", "text", "paragraphs", "tables", "groups", "markdown")
+
+
 class PageReader(HTMLParser):
-    """Collects title, text, paragraphs, tables, what follows headings, and markdown blocks.
+    """Collects the wanted parts: title, text, paragraphs, tables, what follows headings (groups), and markdown blocks.
 
     A new paragraph, list item, cell or row closes an open one, as browsers do.
     """
 
-    def __init__(self):
+    def __init__(self, parts=PARTS):
         super().__init__(convert_charrefs=True)
+        self._wants_text, self._wants_tables, self._wants_groups = "text" in parts, "tables" in parts, "groups" in parts
+        self._wants_paragraphs, self._wants_blocks = "paragraphs" in parts, "markdown" in parts
         self.title, self.texts, self.paragraphs, self.tables, self.groups, self.blocks = "", [], [], [], [], []
         self._hidden = 0
         self._in_title = False
@@ -34,11 +40,15 @@ class PageReader(HTMLParser):
             self._hidden += 1
         elif tag == "title":
             self._in_title = True
-        self._table_start(tag)
-        self._group_start(tag)
-        if tag == "p":
+        if self._wants_tables:
+            self._table_start(tag)
+        if self._wants_groups:
+            self._group_start(tag)
+        if tag == "p" and self._wants_paragraphs:
             self._end_paragraph()
             self._paragraph = []
+        if not self._wants_blocks:
+            return
         if tag in BLOCKS:
             self._end_block()
             self._block = (tag, [])
@@ -52,12 +62,15 @@ class PageReader(HTMLParser):
             self._in_title = False
         if tag == "p":
             self._end_paragraph()
-        if tag == "a":
-            self._end_link()
-        if tag in BLOCKS:
-            self._end_block()
-        self._table_end(tag)
-        self._group_end(tag)
+        if self._wants_blocks:
+            if tag == "a":
+                self._end_link()
+            if tag in BLOCKS:
+                self._end_block()
+        if self._open_tables:
+            self._table_end(tag)
+        if self._wants_groups:
+            self._group_end(tag)
 
     def handle_data(self, data):
         if self._in_title:
@@ -66,7 +79,8 @@ class PageReader(HTMLParser):
         text = data.strip()
         if self._hidden or not text:
             return
-        self.texts.append(text)
+        if self._wants_text:
+            self.texts.append(text)
         if self._paragraph is not None:
             self._paragraph.append(text)
         if self._link is not None:
@@ -125,8 +139,6 @@ class PageReader(HTMLParser):
                 self._open_tables[-1]["cell"] = (tag, [])
 
     def _table_end(self, tag):
-        if not self._open_tables:
-            return
         if tag in ("td", "th"):
             self._end_cell()
         elif tag == "tr":
@@ -194,8 +206,10 @@ class PageReader(HTMLParser):
             self.groups.append({"heading": group["heading"], "items": items})
 
 
-def read_page(html: str) -> PageReader:
-    reader = PageReader()
-    reader.feed(html or "")
+def read_page(html: str, parts=PARTS) -> PageReader:
+    reader = PageReader(parts)
+    # a page without a table needs no parser for its tables
+    if tuple(parts) != ("tables",) or "<table" in (html or "").lower():
+        reader.feed(html or "")
     reader.close()
     return reader

@@ -54,11 +54,14 @@ class Registry:
         return wrap
 
     def table(self, name: str, schema: str, **flags):
-        """Register a class with ``eval`` that yields rows, usable as a table function."""
+        """Register a class whose ``eval`` takes record batches of a table and yields Arrow tables: a table function.
+
+        It is called with a TABLE argument, which Spark splits among its tasks.
+        """
         def wrap(cls):
             self._entries[name] = Entry(
                 name, "table", cls, inspect.getdoc(cls) or "", f"{name}{inspect.signature(cls.eval)}", schema,
-                {**flags, "udtf": F.udtf(cls, returnType=schema, useArrow=True)},
+                {**flags, "udtf": F.arrow_udtf(cls, returnType=schema)},
             )
             return cls
         return wrap
@@ -115,11 +118,19 @@ def tax(income: Column, rate: Column) -> Column:
     return income * rate / F.lit(100)
 
 
-@registry.table("html_tables", "table_no int, row_no int, headers array<string>, cells array<string>")
+@registry.table("html_tables", "page_id bigint, table_no int, row_no int, headers array<string>, cells array<string>")
 class HtmlTables:
-    """Rows of the tables of one page."""
-
-    def eval(self, html: str):
-        for number, table in enumerate(read_page(html).tables):
-            for row_no, row in enumerate(table["rows"]):
-                yield number, row_no, table["headers"], row
+    """Rows of the tables of pages (page_id, html), read a batch at a time."""
+
+    def eval(self, batch):
+        import pyarrow as pa
+
+        rows = [
+            (page, number, row_no, table["headers"], row)
+            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())
+            for number, table in enumerate(read_page(html, ("tables",)).tables) for row_no, row in enumerate(table["rows"])
+        ]
+        text = pa.list_(pa.string())
+        types = [pa.int64(), pa.int32(), pa.int32(), text, text]
+        names = ["page_id", "table_no", "row_no", "headers", "cells"]
+        yield pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)

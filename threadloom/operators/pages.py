@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.html import read_page
+from threadloom.functions.html import PARTS, read_page
 from threadloom.functions.text import strip
 
 # Texts of challenge pages that stand in for the wanted page.
@@ -26,26 +26,27 @@ ENTITY_CODES = {
 # Headings of grouped name lists, tested in this order.
 LIST_GROUPS = ["Yea", "Nay", "Not Voting", "Present"]
 
-PARSED = (
-    "page_id bigint, url string, title string, text string, paragraphs array<string>, "
-    "tables array<struct<headers:array<string>,rows:array<array<string>>>>, "
-    "groups array<struct<heading:string,items:array<string>>>, markdown string"
-)
+#: Types of the parts of a page.
+PART_TYPES = {
+    "title": "string", "text": "string", "paragraphs": "array<string>", "tables": "array<struct<headers:array<string>,rows:array<array<string>>>>",
+    "groups": "array<struct<heading:string,items:array<string>>>", "markdown": "string",
+}
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Read the markup of each page once, in Arrow batches; the other page operators work on the result."""
+def parse_pages(pages: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Read the wanted parts of each page in one pass, in Arrow batches; the other page operators work on the result."""
+    values = {
+        "title": lambda r: r.title.strip(), "text": lambda r: "\n".join(r.texts), "paragraphs": lambda r: r.paragraphs,
+        "tables": lambda r: r.tables, "groups": lambda r: r.groups, "markdown": lambda r: "\n\n".join(r.blocks),
+    }
 
     def parse(batches):
         for batch in batches:
-            read = [read_page(html) for html in batch["html"]]
-            yield batch[["page_id", "url"]].assign(
-                title=[r.title.strip() for r in read], text=["\n".join(r.texts) for r in read],
-                paragraphs=[r.paragraphs for r in read], tables=[r.tables for r in read],
-                groups=[r.groups for r in read], markdown=["\n\n".join(r.blocks) for r in read],
-            )
-
-    return pages.select("page_id", "url", "html").mapInPandas(parse, PARSED)
+            read = [read_page(html, parts) for html in batch["html"]]
+            yield batch[["page_id", "url"]].assign(**{p: [values[p](r) for r in read] for p in parts})
+
+    schema = ", ".join(["page_id bigint", "url string", *[f"{p} {PART_TYPES[p]}" for p in parts]])
+    return pages.select("page_id", "url", "html").mapInPandas(parse, schema)
 
 
 def unescape(text: Column) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.text import first_date, month_label, sentences, strip
 
@@ -128,15 +129,28 @@ def find_dates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
 
 
+def value_text(value: Column) -> Column:
+    """A VARIANT as it is written into a text: null is empty, a text is itself, lists and maps are JSON."""
+    kind, plain = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return (
+        F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(value))
+        .when(kind == "BOOLEAN", F.initcap(plain))  # fixed values: True and False
+        .otherwise(F.coalesce(plain, F.lit("")))
+    )
+
+
 def fill_templates(templates: DataFrame, params: DataFrame, key: str = "template_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(filled texts, unknown names with their line and column).
 
-    ``{$name}`` is replaced from ``params(name, value)``; a null value becomes an empty text.  A template
+    ``{$name}`` is replaced from ``params(name, value)``; a null value becomes an empty text.  Values are texts or
+    VARIANTs of any kind, of which lists and maps are written as JSON (see ``value_text``).  A template
     with a name that is unknown, or given more than once, is reported and not filled.
     """
     body = F.col(text)
     names = F.regexp_extract_all(body, F.lit(r"\{\$([A-Za-z_]\w*)\}"), F.lit(1))
     uses = templates.select(key, text, F.explode(F.array_distinct(names)).alias("name"))
+    if isinstance(params.schema["value"].dataType, T.VariantType):
+        params = params.select("name", value_text(F.col("value")).alias("value"))
     given = params.groupBy("name").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("_times"))
     joined = uses.join(given.select("name", "value", F.when(F.col("_times") == 1, F.lit(True)).alias("_known")), "name", "left")
     before = F.expr(f"substring({text}, 1, instr({text}, concat('{{$', name, '}}')) - 1)")
