@@ -29,7 +29,7 @@ def _session_context(spark, d):
 
 QUERIES = {
     "context_tokens": lambda s, d: context_tokens(turns(s, d)),
-    "drop_blank": lambda s, d: ops.drop_blank(turns(s, d)),
+    "drop_blank": lambda s, d: ops.drop_blank(turns(s, d).withColumn("text", F.when(F.col("turn") % 5 == 3, F.lit(" \t\n\u00a0\u3000")).otherwise(F.col("text")))),
     "merge_runs": lambda s, d: ops.merge_runs(marked_turns(s, d)),
     "merge_runs_unmarked": lambda s, d: ops.merge_runs(turns(s, d)).drop("marked"),
     "compact_history": lambda s, d: ops.compact_history(turns(s, d)),
@@ -86,7 +86,7 @@ SELECT conv_id, count(*) AS messages,
   CAST(sum({_WORDS.format("full_text")} + 4) + 2 AS BIGINT) AS tokens_before,
   CAST(sum({_WORDS.format("short_text")} + 4) + 2 AS BIGINT) AS tokens_after
 FROM short_rows GROUP BY conv_id""",
-    "drop_blank": "SELECT * FROM conversations WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0",
+    "drop_blank": "SELECT * FROM conversations WHERE turn % 5 <> 3 AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0",
     "merge_runs": f"WITH {_MARKED} {_MERGE.format(source='marked')} SELECT * FROM merged",
     "merge_runs_unmarked": f"WITH src AS (SELECT *, false AS marked FROM conversations), {_MERGE.format(source='src')} SELECT conv_id, turn, role, text, n_turns FROM merged",
     "compact_history": f"WITH f AS (SELECT conv_id, turn, role, text, {_FULL} AS is_full FROM conversations) SELECT conv_id, turn, role, {_SHORT} AS text, is_full FROM f",

@@ -98,7 +98,9 @@ def _diff(s, d):
 
 
 def _deleted(s, d):
-    return state.deleted_keys(*_halves(s, d), ["session_id"])
+    previous, current = _halves(s, d)
+    dropped = (F.col("session_id") % 3 == 0) & F.col("name").isin("view", "_error")  # the private one is not reported
+    return state.deleted_keys(previous, current.filter(~dropped), ["session_id"])
 
 
 def _latest(s, d):
@@ -128,6 +130,12 @@ def _attendance(s, d):
     )
 
 
+def _attendance_as_of(s, d):
+    """Seen at a day when some who have not answered are late and others were invited only later."""
+    answered = F.when((F.col("status") == "pending") & (F.col("agent_id") % 2 == 0), None).otherwise(F.col("resolved_at"))
+    return ops.attendance_status(_attendance(s, d).withColumn("resolved_at", answered), as_of=F.lit("1997-01-01 00:00:00").cast("timestamp"))
+
+
 def _await(s, d):
     e = log(s, d)
     invites = e.filter(kind("view")).select("agent_id", "event_id", "ts")
@@ -181,6 +189,7 @@ QUERIES = {
     "latest_state": _latest,
     "effective_settings": _settings,
     "attendance_status": lambda s, d: ops.attendance_status(_attendance(s, d)),
+    "attendance_status_as_of": _attendance_as_of,
     "missing_required": lambda s, d: ops.missing_required(_attendance(s, d)).select("meeting_id", "agent_id"),
 }
 
@@ -212,7 +221,8 @@ diffs AS (SELECT coalesce(m.session_id, c.session_id) AS session_id, coalesce(m.
   FROM moved m FULL JOIN cur c ON m.session_id = c.session_id AND m.step = c.step AND m.name = c.name)"""
 
 _ATT = """att AS (SELECT o_custkey AS meeting_id, o_orderkey AS agent_id, o_orderpriority IN ('1-URGENT', '2-HIGH') AS required,
-  CASE WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_totalprice > 480000 THEN 'rejected' ELSE 'pending' END AS status, o_orderkey % 33 AS secs FROM orders)"""
+  CASE WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_totalprice > 480000 THEN 'rejected' ELSE 'pending' END AS status, o_orderkey % 33 AS secs,
+  CASE WHEN o_orderstatus <> 'F' AND o_totalprice <= 480000 AND o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 30 SECONDS < TIMESTAMP '1997-01-01' ELSE o_orderkey % 33 > 30 END AS late FROM orders)"""
 
 SQL = {
     "read_event_log": "SELECT event_id, user_id AS agent_id, epoch_us(ts) AS ts_us, event_type, value, props AS payload, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
@@ -276,12 +286,14 @@ x AS (SELECT coalesce(p.session_id, c.session_id) AS session_id, coalesce(p.name
   FROM p FULL JOIN c ON p.session_id = c.session_id AND p.name = c.name) SELECT * FROM x WHERE change IS NOT NULL""",
     "snapshot_diffs": f"WITH {_SNAP}, {_DIFFS} SELECT * FROM diffs WHERE change IS NOT NULL",
     "state_changes": f"WITH {_SNAP}, {_DIFFS} SELECT session_id, step, name, new_value, change FROM diffs d WHERE change IN ('new', 'changed') AND step > (SELECT min(step) FROM st WHERE st.session_id = d.session_id)",
-    "deleted_keys": f"WITH {_SNAP}, {_HALVES} SELECT session_id, name FROM halves a WHERE half = 1 AND name <> '_error' AND NOT EXISTS (SELECT 1 FROM halves b WHERE b.session_id = a.session_id AND b.name = a.name AND b.half = 2)",
+    "deleted_keys": f"WITH {_SNAP}, {_HALVES} SELECT session_id, name FROM halves a WHERE half = 1 AND name <> '_error' AND NOT EXISTS (SELECT 1 FROM halves b WHERE b.session_id = a.session_id AND b.name = a.name AND b.half = 2 AND NOT (b.session_id % 3 = 0 AND b.name = 'view'))",
     "latest_state": f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY agent_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM log) SELECT agent_id, event_type AS name, value FROM r WHERE k = 1 AND model > 0",
     "effective_settings": """WITH l AS (SELECT user_id, event_type = 'signup' AS whole, CASE WHEN event_type = 'signup' THEN CAST(user_id AS VARCHAR) ELSE user_id || '.' || event_type END AS key_path,
   arg_max(props, event_id) AS value, max(event_id) AS e FROM events GROUP BY ALL)
 SELECT key_path, value, 'layer' || e AS layer FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.user_id = a.user_id AND b.whole <> a.whole AND b.e > a.e)""",
     "attendance_status": f"""WITH {_ATT} SELECT meeting_id, count(*) AS attendees, CASE WHEN NOT bool_or(required) THEN 'ready' WHEN bool_or(required AND status = 'rejected') THEN 'failed'
   WHEN bool_or(required AND status <> 'rejected' AND secs > 30) THEN 'timeout' WHEN bool_or(status = 'pending') THEN 'pending' ELSE 'ready' END AS status FROM att GROUP BY meeting_id""",
+    "attendance_status_as_of": f"""WITH {_ATT} SELECT meeting_id, count(*) AS attendees, CASE WHEN NOT bool_or(required) THEN 'ready' WHEN bool_or(required AND status = 'rejected') THEN 'failed'
+  WHEN bool_or(required AND status <> 'rejected' AND late) THEN 'timeout' WHEN bool_or(status = 'pending') THEN 'pending' ELSE 'ready' END AS status FROM att GROUP BY meeting_id""",
     "missing_required": f"WITH {_ATT} SELECT meeting_id, agent_id FROM att WHERE required AND status <> 'accepted'",
 }

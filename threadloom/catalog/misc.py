@@ -202,6 +202,14 @@ def _scalars(s, d):
     )
 
 
+def _composed(s, d):
+    """Whole texts whose letters a and o carry a separate accent, composed."""
+    registry.install(s)
+    doc = read_table(s, d, "documents").select("doc_id", F.replace(F.replace("text", F.lit("a"), F.lit("a\u0308")), F.lit("o"), F.lit("o\u0301")).alias("text"))
+    return doc.select("doc_id", registry.column("composed", F.col("text")).alias("text")).select(
+        "doc_id", F.sha2("text", 256).alias("digest"), F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @registry.transform("drop_blank_turns")
 def drop_blank_turns(df):
     """Turns with text."""
@@ -240,6 +248,7 @@ QUERIES = {
     "markdown_blocks": _blocks,
     "text_columns": _text_columns,
     "registry_scalars": _scalars,
+    "registry_vectorised": _composed,
     "registry_transforms": lambda s, d: registry.apply(read_table(s, d, "conversations"), "drop_blank_turns", ("tokens_by", {"key": "role"})),
 }
 
@@ -331,6 +340,7 @@ SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) |
   CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size,
   upper(substr(lang, 1, 1)) || lower(substr(lang, 2)) || upper(substr(source, 1, 1)) || lower(substr(source, 2)) || 'SomeWords' AS camel,
   array_to_string(list_transform(string_split(s, chr(10)), lambda l: CASE WHEN regexp_matches(l, '\\S') THEN '  ' || l ELSE l END), chr(10)) AS indented FROM d""",
+    "registry_vectorised": "WITH t AS (SELECT doc_id, nfc_normalize(replace(replace(text, 'a', 'a' || chr(776)), 'o', 'o' || chr(769))) AS text FROM documents) SELECT doc_id, sha256(text) AS digest, CAST(length(text) AS BIGINT) AS n_chars FROM t",
     "registry_scalars": "SELECT o_orderkey, round(o_totalprice * 20.0::DOUBLE / 100, 4) AS tax, o_totalprice + 1.5::DOUBLE AS added, o_totalprice * 2.0::DOUBLE AS doubled FROM orders",
     "registry_transforms": "SELECT role, CAST(sum(len(regexp_extract_all(text, '\\S+')) + 4) + 2 AS BIGINT) AS tokens FROM conversations WHERE trim(text) <> '' GROUP BY role",
 }

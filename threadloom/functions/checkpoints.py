@@ -40,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Tables written by the operators that are running, innermost last.
 _open: list[list[str]] = []
 
@@ -54,14 +59,11 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         try:
             result = operator(df, *args, **kwargs)
             del _open[depth:]
-            result = stored(result, operator.__name__)
-        finally:
+            return stored(result, operator.__name__)
+        finally:  # also after a failure nothing of the operator's own stays
             del _open[depth:]
-        spark = df.sparkSession
-        for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        return result
+            for path in paths:
+                delete(df.sparkSession, path)
 
     return run
 
@@ -85,4 +87,14 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
         spark.conf.set(CLEANUP, before)
     if _open:
         _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` has written and that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path is not None:
+            delete(table.sparkSession, path)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import inspect
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +120,12 @@ def tax(income: Column, rate: Column) -> Column:
     return income * rate / F.lit(100)
 
 
+@registry.vectorised("composed", "string")
+def composed(text: pd.Series) -> pd.Series:
+    """Text in Unicode's composed form (NFC): a letter and its accents are one character where there is one."""
+    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
 @registry.table("html_tables", "page_id bigint, table_no int, row_no int, headers array<string>, cells array<string>")
 class HtmlTables:
     """Rows of the tables of pages (page_id, html), read a batch at a time."""

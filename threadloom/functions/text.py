@@ -159,20 +159,6 @@ def sleep_efficiency(in_bed: Column, awake: Column) -> Column:
     return F.when(in_bed != 0, F.round((in_bed - awake) * 100 / in_bed, 1))
 
 
-def compact_message(message: str = "") -> Column:
-    """One line per message: who to whom, the meeting it belongs to, and the shortened content."""
-    c = lambda n: F.col(f"{message}.{n}" if message else n)
-    named = lambda role: F.concat(c(f"{role}_klass"), F.lit("("), c(f"{role}_id"), F.lit(")"))
-    sender = F.when((c("sender_id") == "human") | (c("sender_klass") == "HumanAgent"), F.lit("User")).otherwise(named("sender"))
-    recipient = (
-        F.when(c("recipient_id") == "human", F.lit("User"))
-        .when(c("recipient_klass").isNull() | c("recipient_id").isNull(), F.lit("Everyone"))
-        .otherwise(named("recipient"))
-    )
-    return F.concat(sender, F.lit(" \u2192 "), recipient, meeting_tag(c("message_type"), c("meeting_id")),
-                    F.lit(": "), shorten(c("content"), 100))
-
-
 def meeting_tag(message_type: Column, meeting_id: Column) -> Column:
     return F.coalesce(
         F.when(message_type == "meeting_invitation", F.concat(F.lit(" [MEETING_INVITATION for meeting "), meeting_id, F.lit("]")))

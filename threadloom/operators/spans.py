@@ -90,7 +90,3 @@ def redact_times(df: DataFrame) -> DataFrame:
     """Replace every timestamp column by a fixed word, so two runs can be compared."""
     times = [f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date")]
     return df.withColumns({t: F.lit("<datetime>") for t in times})
-
-
-def is_descendant(path: Column, ancestor: Column) -> Column:
-    return F.array_contains(F.split(path, "/"), ancestor.cast("string"))

@@ -42,7 +42,8 @@ TOPIC_RULES = [
     ("wildlife", "text", [r"(wildlife|endangered|fish|wolf|animal|endangered.*species)"]),
     ("environmental review", "both", [r"(nepa|national\s+environmental\s+policy).*?(limit|scope|narrow|redefine|reduce)", r"limit.*?(nepa|environmental\s+review|federal\s+action)"]),
     ("pipeline review", "both", [r"(pipeline|ferc|natural\s+gas).*?(review|coordinat|deadline|interagency)", r"interagency.*?(pipeline|coordinat|review)"]),
-    ("agency process", "text", [r"(?s)^(?=.*(?:ferc|regulatory|commission|federal[^\n]*agency|environmental[^\n]*review))(?=.*(?:deadline|process|review|authorize|expedite|shorten))"]),
+    # two patterns that must both hold
+    ("agency process", "text", [(r"(ferc|regulatory|commission|federal.*agency|environmental.*review)", r"(deadline|process|review|authorize|expedite|shorten)")]),
     ("energy", "text", [r"(electric|generation|facility|generation facility|transmission|utility)"]),
     ("mining", "text", [r"(mining|mine|hardrock|mineral|extraction|resource)"]),
     ("investment", "text", [r"(closed.*end.*fund|investment|investor|securities|exchange|business)"]),
@@ -100,13 +101,19 @@ def _starts(words: list[str]) -> str:
 def label_topics(
     docs: DataFrame, rules=None, key: str = "doc_id", text: str = "text", title: str | None = None, default: str = "general",
 ) -> DataFrame:
-    """First matching topic rule per text, tested on lower-cased text or on text and title."""
+    """First matching topic rule per text, tested on lower-cased text or on text and title.
+
+    A rule holds when one of its patterns does; a tuple of patterns holds when all of them do.
+    """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     both = F.concat_ws(" ", low, F.lower(F.coalesce(F.col(title), F.lit("")))) if title else F.concat(low, F.lit(" "))
     tested = docs.select(key, low.alias("_text"), both.alias("_both"))
     label = None
     for name, field, patterns in TOPIC_RULES if rules is None else rules:
-        hit = F.col(f"_{field}").rlike("|".join(f"(?:{p})" for p in patterns))
+        every = [reduce(lambda a, b: a & b, [F.col(f"_{field}").rlike(q) for q in p]) for p in patterns if isinstance(p, tuple)]
+        single = [p for p in patterns if isinstance(p, str)]
+        some = [F.col(f"_{field}").rlike("|".join(f"(?:{p})" for p in single))] if single else []
+        hit = reduce(lambda a, b: a | b, [*some, *every])
         label = F.when(hit, F.lit(name)) if label is None else label.when(hit, F.lit(name))
     return tested.select(key, label.otherwise(F.lit(default)).alias("topic"))
 

@@ -65,12 +65,6 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return spark.read.schema(MESSAGE_SCHEMA).format(fmt).load(path)
 
 
-def check_message_types(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(known, unknown) message types; a null type counts as unknown."""
-    known = F.coalesce(F.col("message_type").isin(MESSAGE_TYPES), F.lit(False))
-    return messages.filter(known), messages.filter(~known)
-
-
 def read_event_log(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     use_utc(spark)
     return spark.read.schema(EVENT_SCHEMA).format(fmt).load(path)

@@ -18,8 +18,3 @@ def export_trace_json(spans: DataFrame, path: str, key: str = "trace_id", start:
     rows = export_trace_rows(spans, key, start).join(tree, "span_id")
     ordered = rows.repartitionByRange(key, "position").sortWithinPartitions(key, "position")
     ordered.write.mode(mode).json(path)
-
-
-def nested_children(spans: DataFrame) -> DataFrame:
-    """Number of direct children per span, for checks of an export."""
-    return spans.groupBy("parent_id").agg(F.count(F.lit(1)).alias("children"))
