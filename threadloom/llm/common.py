@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.checkpoints import stored
+from threadloom.functions.checkpoints import discard, stored
 
 #: Text bytes handled at once inside a task.
 CHUNK_BYTES = 4 << 20
@@ -76,11 +76,14 @@ def components(nodes_edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         small = stored(small, "edges")
         before, after = (e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() for e in (edges, small))
+        discard(edges, large)
         edges = small
         if before == after:
             break
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = out.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._stored_path = edges._stored_path
+    return out
 
 
 _SEED = np.random.default_rng(20240229)
