@@ -50,8 +50,7 @@ class Registry:
     def vectorised(self, name: str, returns: str, **flags):
         """Register a function of pandas Series for what column expressions cannot say."""
         def wrap(fn):
-            udf = F.pandas_udf(fn, returns)
-            self._add(name, "vectorised", fn, returns, udf=udf, **flags)
+            self._add(name, "vectorised", fn, returns, **flags)
             return fn
         return wrap
 
@@ -87,14 +86,14 @@ class Registry:
     def column(self, name: str, *args) -> Column:
         entry = self._entries[name]
         if entry.kind == "vectorised":
-            return entry.flags["udf"](*args)
+            return F.pandas_udf(entry.function, entry.returns)(*args)  # made at use: it needs a session
         return entry.function(*args).cast(entry.returns)
 
     def install(self, spark: SparkSession) -> None:
         """Make vectorised and table functions known to SQL."""
         for entry in self._entries.values():
             if entry.kind == "vectorised":
-                spark.udf.register(entry.name, entry.flags["udf"])
+                spark.udf.register(entry.name, F.pandas_udf(entry.function, entry.returns))
             elif entry.kind == "table":
                 spark.udtf.register(entry.name, entry.flags["udtf"])
 
