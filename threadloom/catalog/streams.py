@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import word_count
 from threadloom.operators import batching
-from threadloom.sources.tables import EVENT_TABLE_SCHEMA, event_log_from_table, messages_from_turns, read_table, use_utc
+from threadloom.sources.tables import EVENT_TABLE_SCHEMA, event_log_from_table, messages_from_turns, read_table, stream_table, use_utc
 from threadloom.streaming import batches, live
 
 HOUR = 3600
@@ -15,9 +15,7 @@ def log(spark, d):
 
 
 def live_log(spark, d):
-    use_utc(spark)
-    raw = spark.readStream.schema(EVENT_TABLE_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(d)
-    return event_log_from_table(raw)
+    return event_log_from_table(stream_table(spark, d, "events", EVENT_TABLE_SCHEMA))
 
 
 def urgent():
@@ -93,10 +91,7 @@ def _replay(s, d):
 
 
 def live_messages(spark, d):
-    use_utc(spark)
-    schema = spark.read.parquet(f"{d}/conversations.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
-    return messages_from_turns(raw)
+    return messages_from_turns(stream_table(spark, d, "conversations"))
 
 
 def _fan_out_live(s, d):
