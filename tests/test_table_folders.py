@@ -32,3 +32,7 @@ def test_fan_out_live_reads_a_folder(spark, folders):
 
 def test_log_sink_reads_a_folder(spark, folders):
     assert same_as_sql(spark, folders, "stream_log_sink") is None
+
+
+def test_incremental_corpus_reads_a_folder(spark, folders):
+    assert same_as_sql(spark, folders, "incremental_corpus") is None

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import word_count
 from threadloom.operators import batching
-from threadloom.sources.tables import EVENT_TABLE_SCHEMA, event_log_from_table, messages_from_turns, read_table, stream_table, use_utc
+from threadloom.sources.tables import EVENT_TABLE_SCHEMA, event_log_from_table, messages_from_turns, read_table, stream_table
 from threadloom.streaming import batches, live
 
 HOUR = 3600
@@ -154,14 +154,12 @@ def _route_stream(s, d):
 
 
 def _incremental(s, d):
-    use_utc(s)
     root = live.work_folder(s, "corpus")
-    schema = s.read.parquet(f"{d}/documents.parquet").schema
     known = read_table(s, d, "documents").filter("lang = 'en'")
     from threadloom.sources.corpus import with_hash
 
     with_hash(known).select("doc_id", "content_hash").write.parquet(f"{root}/manifest/batch_id=-1")
-    files = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d).select("doc_id", "text")
+    files = stream_table(s, d, "documents").select("doc_id", "text")
     live.incremental_corpus(
         files, f"{root}/manifest", f"{root}/out", lambda df: df.select("doc_id", word_count(F.col("text")).cast("bigint").alias("words")),
         f"{root}/checkpoint", key="doc_id",
