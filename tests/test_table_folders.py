@@ -36,3 +36,7 @@ def test_log_sink_reads_a_folder(spark, folders):
 
 def test_incremental_corpus_reads_a_folder(spark, folders):
     assert same_as_sql(spark, folders, "incremental_corpus") is None
+
+
+def test_notify_observers_live_reads_a_folder(spark, folders):
+    assert same_as_sql(spark, folders, "notify_observers_live") is None
