@@ -263,3 +263,28 @@ def test_state(spark):
     got = {(r.step, r.name, r.change) for r in state.snapshot_diffs(snap).collect()}
     assert got == {(1, "a", "new"), (1, "b", "new"), (2, "a", "changed"), (2, "b", "deleted"), (2, "c", "new"), (4, "a", "deleted"), (4, "b", "new")}
     assert {(r.step, r.name) for r in state.state_changes(snap).collect()} == {(2, "a"), (2, "c"), (4, "b")}
+
+
+def test_jaccard_pairs_counts_only_early_matches(spark, tmp_path):
+    """Random sets of mixed sizes against all pairs, and no count for a pair whose first shared word comes too late."""
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(150):
+        base = [f"w{int(rnd.paretovariate(0.6)) % 60}" for _ in range(rnd.randint(1, 40))]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base[: 1 + len(base) * 2 // 3] + [f"x{i}"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for key, text in rows:
+        sets.setdefault(frozenset(text.split()), key)
+    for limit in (0.3, 0.5, 0.9, 1.0):
+        want = set()
+        for a, i in sets.items():
+            for b, j in sets.items():
+                if i < j and len(a & b) * 1000 >= round(limit * 1000) * len(a | b):
+                    want.add((i, j))
+        found = similarity.jaccard_pairs(docs, limit)
+        assert {(r.id_a, r.id_b) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "least(la" in plan
