@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.batches import small_batches
 from threadloom.functions.html import read_page
 
 
@@ -86,11 +87,13 @@ class Registry:
     def column(self, name: str, *args) -> Column:
         entry = self._entries[name]
         if entry.kind == "vectorised":
+            small_batches(SparkSession.getActiveSession())
             return F.pandas_udf(entry.function, entry.returns)(*args)  # made at use: it needs a session
         return entry.function(*args).cast(entry.returns)
 
     def install(self, spark: SparkSession) -> None:
         """Make vectorised and table functions known to SQL."""
+        small_batches(spark)
         for entry in self._entries.values():
             if entry.kind == "vectorised":
                 spark.udf.register(entry.name, F.pandas_udf(entry.function, entry.returns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.batches import small_batches
 from threadloom.functions.html import PARTS, read_page
 from threadloom.functions.text import strip
 
@@ -33,20 +34,40 @@ PART_TYPES = {
 }
 
 
+#: Pages that a task parses at a time.
+PAGES_AT_A_TIME = 250
+
+
 def parse_pages(pages: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
-    """Read the wanted parts of each page in one pass, in Arrow batches; the other page operators work on the result."""
+    """Read the wanted parts of each page in one pass, some pages at a time; the other page operators work on the result."""
     values = {
         "title": lambda r: r.title.strip(), "text": lambda r: "\n".join(r.texts), "paragraphs": lambda r: r.paragraphs,
         "tables": lambda r: r.tables, "groups": lambda r: r.groups, "markdown": lambda r: "\n\n".join(r.blocks),
     }
 
     def parse(batches):
+        import pyarrow as pa
+
+        texts = pa.list_(pa.string())
+        types = {
+            "title": pa.string(), "text": pa.string(), "markdown": pa.string(), "paragraphs": texts,
+            "tables": pa.list_(pa.struct([("headers", texts), ("rows", pa.list_(texts))])),
+            "groups": pa.list_(pa.struct([("heading", pa.string()), ("items", texts)])),
+        }
         for batch in batches:
-            read = [read_page(html, parts) for html in batch["html"]]
-            yield batch[["page_id", "url"]].assign(**{p: [values[p](r) for r in read] for p in parts})
-
+            for at in range(0, batch.num_rows, PAGES_AT_A_TIME):
+                some = batch.slice(at, PAGES_AT_A_TIME)
+                found = [[] for _ in parts]
+                for html in some.column("html"):
+                    read = read_page(html.as_py(), parts)
+                    for column, p in zip(found, parts):
+                        column.append(values[p](read))
+                columns = [pa.array(column, types[p]) for column, p in zip(found, parts)]
+                yield pa.RecordBatch.from_arrays([some.column("page_id").cast(pa.int64()), some.column("url"), *columns], ["page_id", "url", *parts])
+
+    small_batches(pages.sparkSession)
     schema = ", ".join(["page_id bigint", "url string", *[f"{p} {PART_TYPES[p]}" for p in parts]])
-    return pages.select("page_id", "url", "html").mapInPandas(parse, schema)
+    return pages.select("page_id", "url", "html").mapInArrow(parse, schema)
 
 
 def unescape(text: Column) -> Column:
