@@ -171,7 +171,7 @@ def latency_stats(
     ranks = totals.select(
         F.col(key).alias("_key"), F.when(n > small_key, F.col("_edges")).alias("_edges"),
         F.floor((n + 1) / 2).alias("_m1"), (F.floor(n / 2) + 1).alias("_m2"), F.least(j, n).alias("_q1"), F.least(j + 1, n).alias("_q2"))
-    near = salted_join(calls.filter(value.isNotNull()).select(F.col(key).alias("_key"), value.alias("_v")), ranks, ["_key"])
+    near = salted_join(calls.filter(value.isNotNull()).select(F.col(key).alias("_key"), value.alias("_v")), ranks, ["_key"], merge=False)
     sides = F.array(*[F.struct(F.lit(i).alias("i"), F.col("_edges")[2 * i].alias("low"), F.col("_edges")[2 * i + 1].alias("high")) for i in (0, 1)])
     near = near.select("_key", "_v", "_m1", "_m2", "_q1", "_q2", F.inline(sides)).filter(F.col("high").isNull() | (F.col("_v") <= F.col("high")))
     inside = F.when(F.col("low").isNull() | (F.col("_v") >= F.col("low")), F.col("_v"))  # null: below the bracket

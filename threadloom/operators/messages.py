@@ -88,7 +88,7 @@ def route_events(events: DataFrame, subscriptions: DataFrame, salts: int = 8) ->
     orders the deliveries of an event.
     """
     routed = events.withColumn("route", F.explode(F.array(F.col("event_type"), F.lit("*"))))
-    joined = salted_join(routed, subscriptions.select(F.col("event_type").alias("route"), "subscriber_id"), ["route"], salts=salts)
+    joined = salted_join(routed, subscriptions.select(F.col("event_type").alias("route"), "subscriber_id"), ["route"], salts=salts, merge=False)
     return joined.withColumn("is_wildcard", F.col("route") == "*").drop("route")
 
 
