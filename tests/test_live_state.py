@@ -113,3 +113,21 @@ def test_last_batches_come_out(spark, tmp_path):
     stream = marks.add(stream_of(spark, tmp_path / "in", schema), recipient="mark")
     out = live.run_to_end(batches.rolling_batches_live(stream, "recipient", "ts", "id", F.col("sender") == "human"), "tail", marks)
     assert sorted((r.key, tuple(r.ids)) for r in out.collect() if r.key != "mark") == [("r", ("1", "2")), ("s", ("3",)), ("s", ("4",))]
+
+
+def test_chunks_reach_the_state_in_lists(spark, tmp_path):
+    """A row per chunk would cost Python more than all else: rows of a stream next to each other are one row."""
+    import pyarrow as pa
+
+    rows = [("a", 0, "start", None, at(0)), ("a", 1, "chunk", "x", at(9)), ("b", 7, "chunk", "", None), ("a", 2, "complete", None, at(3)), (None, None, None, "z", at(1))]
+    table = spark.createDataFrame(rows, CHUNKS).toArrow()
+    packed = pa.Table.from_batches(batches._packed(iter(table.combine_chunks().to_batches()))).to_pylist()
+    got = {r["stream_id"]: (r["seq"], r["kind"], r["chunk"], r["ts"] and r["ts"].replace(tzinfo=None)) for r in packed}
+    assert got == {"a": ([0, 1, 2], ["start", "chunk", "complete"], [None, "x", None], at(9)), "b": ([7], ["chunk"], [""], None), None: ([None], [None], ["z"], at(1))}
+
+    spark.createDataFrame([(f"s{i % 3}", i // 3, "start" if i < 3 else "chunk", "t", at(i)) for i in range(300)], CHUNKS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = batches.assemble_streams_live(spark.readStream.schema(CHUNKS).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("packed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert "MapInArrow" in query._jsq.explainInternal(False)
+    assert sorted((r.stream_id, r.error, r.chunks) for r in spark.table("packed").collect()) == []
