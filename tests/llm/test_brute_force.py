@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -258,6 +259,18 @@ def test_line_blocks_and_rounds(spark, monkeypatch):
     assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if a % 10 != b % 10]
 
 
+def test_shingles_of_a_long_line(spark):
+    """The work grows with the line: its plain form is made once, not again for each of its shingles."""
+    n = 600_000
+    line = "  " + "".join(f"{i:08X}" for i in range(n // 8)) + "\t"
+    rows = spark.createDataFrame([(line,)], "raw string")
+    start = time.monotonic()
+    got = rows.select(F.size(line_dedup._shingle_set(line_dedup.PLAIN))).first()[0]
+    assert time.monotonic() - start < 20
+    plain = line.strip().lower()
+    assert got == len({plain[i: i + 8] for i in range(n - 7)})
+
+
 def test_tiles():
     item = np.arange(1, 31, dtype=np.uint64)
     text = np.r_[np.arange(900, 910), np.arange(16, 31), np.arange(910, 914), np.arange(1, 16)].astype(np.uint64)
