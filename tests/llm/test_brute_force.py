@@ -271,6 +271,19 @@ def test_shingles_of_a_long_line(spark):
     assert got == len({plain[i: i + 8] for i in range(n - 7)})
 
 
+def test_counts_of_parts():
+    """A block's parts are counted alone and their sorted runs merged; keys that are only asked for have count 0."""
+    r = random.Random(4)
+    parts = [[(r.randrange(-20, 20), r.randrange(3)) for _ in range(n)] for n in (0, 50, 1, 200)]
+    want = collections.Counter()
+    for key, n in sum(parts, []):
+        want[key] += n
+    runs = [np.array(sorted(p), np.int64).reshape(-1, 2) for p in parts]
+    key, n = context_tree.merged([(x[:, 0], x[:, 1]) for x in runs])
+    assert key.tolist() == sorted(want) and dict(zip(key.tolist(), n.tolist())) == dict(want)
+    assert not len(context_tree.merged([(x[:0, 0], x[:0, 1]) for x in runs])[0])
+
+
 def test_tiles():
     item = np.arange(1, 31, dtype=np.uint64)
     text = np.r_[np.arange(900, 910), np.arange(16, 31), np.arange(910, 914), np.arange(1, 16)].astype(np.uint64)

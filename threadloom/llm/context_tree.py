@@ -66,6 +66,18 @@ def stream(array):
     return gram[good], owner[DEPTH:][good], (hashes | np.uint64(1 << 63)).view(np.int64), text
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key of parts (sorted keys, numbers): their runs are merged, not sorted anew."""
+    key = np.concatenate([k for k, _ in parts])
+    number = np.concatenate([n for _, n in parts])
+    if not len(key):
+        return key, number
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(number[order], first)
+
+
 def _levels(gram: np.ndarray, count: np.ndarray, top: int) -> dict[int, tuple]:
     """Nodes of levels DEPTH to ``top``: sorted keys (context, bit place), zeros, ones, log KT, log weighted probability."""
     key, ones, zeros = [], [], []
@@ -227,9 +239,12 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         for part in parts(table):
             train = ~part.column("held_out").to_numpy(zero_copy_only=False)
             gram, of, word, owner = stream(part.column("text"))
-            found, place = np.unique(np.r_[gram, word, keys], return_inverse=True)
-            own = np.r_[train[of], train[owner], sums]
-            keys, sums = found, np.bincount(place, own, minlength=len(found)).astype(np.int64)
+            found = [(keys, sums)]
+            for key, own in ((gram, train[of]), (word, train[owner])):
+                found.append(np.unique(key[own], return_counts=True))
+                rest = np.unique(key[~own])
+                found.append((rest, np.zeros(len(rest), np.int64)))
+            keys, sums = merged(found)
         return pa.table({"block": np.full(len(keys), table.column("block")[0].as_py() if table.num_rows else 0, np.int32), "key": keys, "n": sums})
 
     asked = stored(rows.groupBy("block").applyInArrow(count, "block int, key long, n long"), "asked")
@@ -244,17 +259,23 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     def judge(left, right):
         import pyarrow as pa
 
-        order = np.argsort(right.column("key").to_numpy(), kind="stable")
-        key, value = right.column("key").to_numpy()[order], right.column("value").to_numpy()[order]
+        import pyarrow.compute as pc
+
+        key, value = right.column("key").combine_chunks(), right.column("value").to_numpy()
+
+        def answer(asked):
+            """Every asked key has an answer: it is looked up in a hash table, not searched in a sorted list."""
+            return value[pc.index_in(pa.array(asked), key).to_numpy(zero_copy_only=False)]
+
         out = []
         for part in parts(left):
             gram, of, word, owner = stream(part.column("text"))
             n = part.num_rows
             tokens = np.bincount(owner, minlength=n) + 1
-            counts = value[np.searchsorted(key, word)] if len(word) else np.zeros(0)
+            counts = answer(word) if len(word) else np.zeros(0)
             known = np.bincount(owner, counts > 0, minlength=n) + (trained > 0)
             base_score = np.bincount(owner, np.log10((counts + 0.5) / base), minlength=n) + math.log10((trained + 0.5) / base)
-            model = np.bincount(of, value[np.searchsorted(key, gram)], minlength=n)
+            model = np.bincount(of, answer(gram), minlength=n)
             size = np.bincount(of, minlength=n)
             out.append(pa.table({
                 "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": tokens.astype(np.int64),
