@@ -364,3 +364,24 @@ def test_pipeline(spark, rows, tmp_path):
     wrong = {d for d in set(got) | set(want) if got.get(d) != want.get(d)}
     assert len(wrong) <= 2  # a line link near the threshold may be missed
     assert 5 not in got
+
+
+def test_chance_pairs_stop_inside_the_join(spark):
+    """The bit maps of prefixes let every link through, and leave no row for documents that share one rare token."""
+    r = random.Random(23)
+    token = lambda: r.getrandbits(64) - (1 << 63)
+    percent, n, matches = 80, 100, 1
+    length = n - (percent * n + 99) // 100 + matches
+    shared = token()
+    # rows meet at a shared token: half of them in pairs that have all but two prefix tokens in common
+    prefixes = [[shared] + [token() for _ in range(length - 1)] for _ in range(40)]
+    prefixes += [p[:-2] + [token(), token()] for p in prefixes[:20]]
+    rows = spark.createDataFrame([(i, n, matches, length, 0, p) for i, p in enumerate(prefixes)],
+                                 "rep long, n long, matches int, length int, place int, tokens array<long>")
+    rows = rows.select("*", *[jaccard_join._prefix_bits("tokens", k).alias(f"bits{k}") for k in range(jaccard_join.WORDS)])
+    met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.rep < y.rep and {jaccard_join._may_link(percent)}"))
+    got = {tuple(q) for q in met.select("x.rep", "y.rep").collect()}
+    wanted = -(-2 * percent * n // (100 + percent)) + length - n
+    truly = {(i, j) for j in range(60) for i in range(j) if len(set(prefixes[i]) & set(prefixes[j])) >= wanted}
+    assert truly == {(i, i + 40) for i in range(20)}
+    assert truly <= got and len(got) < 2 * len(truly)  # of 1,770 pairs

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.checkpoints import stored, tidy
@@ -14,6 +14,8 @@ SKETCH_BITS = 24
 SLICE_BITS = 16
 #: Longest extension of a prefix: up to this many shared tokens are required.
 MOST_MATCHES = 6
+#: Longs of the bit map of a prefix, a power of two.
+WORDS = 2
 #: Members of one hub are spread over so many groups.
 SALTS = 16
 
@@ -42,15 +44,17 @@ def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
         waiting, held, total = [], 0, np.zeros(1 << SKETCH_BITS, np.uint8)
 
         def add():
-            found = np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS)
-            np.minimum(found + total, 255, out=found)
-            total[:] = found
+            # sorted, so that memory goes with the values that wait and not with all buckets
+            found = np.sort(np.concatenate(waiting))
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            slot = found[first]
+            total[slot] = np.minimum(np.diff(first, append=len(found)) + total[slot], 255)
 
         for part in chunks(batches):
             value, _ = _sets(part.column("text"), size)
             waiting.append((value & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32))
             held += len(value)
-            if held > 1 << 23:
+            if held > 1 << 22:
                 add()
                 waiting, held = [], 0
         if held:
@@ -161,6 +165,35 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return dealt.mapInArrow(test, "a long, b long")
 
 
+def _prefix_bits(tokens: str, word: int) -> Column:
+    """A long of the bit map of prefix tokens: each token sets one bit, by digits that neither order of tokens looks at first."""
+    own = f"filter({tokens}, t -> (shiftright(t, {SKETCH_BITS + 6}) & {WORDS - 1}) = {word})"
+    return F.expr(f"aggregate({own}, 0L, (a, t) -> a | shiftleft(1L, cast(shiftright(t, {SKETCH_BITS}) & 63 as int)))")
+
+
+def _overlap(percent: int) -> str:
+    """Shared tokens that the threshold asks of the rows x and y."""
+    return f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+
+
+def _wanted(percent: int) -> str:
+    """So many shared tokens stand in both lengthened prefixes if x and y link."""
+    return f"greatest(least(x.matches, y.matches), least(x.length - x.n, y.length - y.n) + {_overlap(percent)})"
+
+
+def _may_link(percent: int) -> str:
+    """Whether sizes, the places of a shared token and the prefixes' bit maps allow a link of x and y; true for each link.
+
+    A bit of one side only is a token of that side only, so it bounds the shared tokens before any pair is made.
+    """
+    overlap = _overlap(percent)
+    only = lambda a, b: " + ".join(f"bit_count({a}.bits{k} & ~{b}.bits{k})" for k in range(WORDS))
+    return (
+        f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and x.place <= x.n - {overlap} and y.place <= y.n - {overlap} "
+        f"and {only('x', 'y')} <= x.length - {_wanted(percent)} and {only('y', 'x')} <= y.length - {_wanted(percent)}"
+    )
+
+
 @tidy
 def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each input row.
@@ -173,7 +206,8 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
        it is lengthened by l - 1 tokens and then l shared tokens are required of a pair (the smaller l of both).
        Tokens outside the overlap that a pair's sizes ask for can only stand before so many shared ones: a pair meets
        through a shared token that stands early enough in both, and the number of shared prefix tokens that is required
-       of it follows from its two sizes and is never below l.
+       of it follows from its two sizes and is never below l.  Bit maps of both prefixes bound what they share inside
+       the join, so chance pairs through one rare token, whose number grows with the square of the table, leave no row.
     3. Tokens are joined within size classes (sizes differ by the threshold at most).  First each document is tested
        against one hub per token group, over rounds; pairs within one component need no test any more.  As soon as
        what is left is linear in the tokens, or a round finds no link, all remaining pairs are counted and tested.
@@ -186,7 +220,7 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     classes = stored(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
     need = F.expr(f"cast((n * {percent} + 99) div 100 as int)")
     classes_ = classes.withColumn("need", need).withColumn("plain", F.expr("cast(n as int) - need + 1"))
-    plain = classes_.select(F.explode(F.expr("slice(prefix, 1, plain)")).alias("token"), "rep").repartition("token")
+    plain = classes_.select(F.posexplode(F.expr("slice(prefix, 1, plain)")).alias("place", "token"), "rep").repartition("token")
     met = plain.join(plain.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
     cost = met.groupBy("rep").agg(F.sum(F.col("df") - 1).alias("cost"))
     # four candidates for each prefix token are cheap; each four times that asks for one more match
@@ -194,13 +228,13 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     matches = F.least(F.lit(MOST_MATCHES), F.greatest(F.lit(1), F.least(F.col("need"), 1 + more))).cast("int")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     chosen = classes_.join(cost, "rep").withColumn("matches", matches).withColumn("own", step)
-    chosen = chosen.withColumn("length", F.expr("plain + matches - 1"))
-    spread = chosen.select(F.posexplode(F.expr("slice(prefix, 1, length)")).alias("place", "token"), "rep").repartition("token")
-    spread = spread.join(spread.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token", "left_semi")
-    traits = chosen.select("rep", "n", "matches", "cost", "length", "own")
-    rows = spread.join(traits, "rep").withColumn("step", F.explode(F.array("own", F.col("own") + 1)))
+    chosen = chosen.withColumn("length", F.expr("plain + matches - 1")).withColumn("tokens", F.expr("slice(prefix, 1, length)"))
+    traits = chosen.select("rep", "n", "matches", "cost", "length", "own", *[_prefix_bits("tokens", k).alias(f"bits{k}") for k in range(WORDS)])
+    # a pair meets at a place that the sizes allow: never in the part by which a prefix is lengthened
+    rows = met.select("token", "place", "rep").join(traits, "rep").withColumn("step", F.explode(F.array("own", F.col("own") + 1)))
     rows = stored(rows, "tokens")
-    prefixes = chosen.select("rep", F.expr("slice(prefix, 1, length)").alias("tokens"))
+    prefixes = chosen.select("rep", "tokens")
+    bits = [f"bits{k}" for k in range(WORDS)]
     links, tested = None, None
     found = None
     before = None
@@ -210,7 +244,9 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
         else:
             labelled = rows.join(found, rows.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
             labelled = stored(labelled, "labelled")
-        parts = labelled.groupBy("token", "step", "component").agg(F.count("*").alias("c"))
+        parts = labelled.withColumn("c", F.lit(1))
+        if found is not None:  # before, each row is a component of its own
+            parts = labelled.groupBy("token", "step", "component").agg(F.count("*").alias("c"))
         left = parts.groupBy("token", "step").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("k")).filter("k > 1")
         todo, most = left.agg(F.sum(F.expr("(m * m - s) / 2")), F.sum("m")).first()
         if not todo:
@@ -220,15 +256,13 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
         final = todo <= 20 * most or before is not None and todo > 0.4 * before
         before = todo
         x, y = labelled.alias("x"), labelled.alias("y")
-        # overlap that the threshold asks for, and so many shared tokens stand in both prefixes then
-        overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
-        wanted = F.expr(f"greatest(least(x.matches, y.matches), least(x.length - x.n, y.length - y.n) + {overlap})").alias("wanted")
-        sizes = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and x.place <= x.n - {overlap} and y.place <= y.n - {overlap}"
+        wanted = F.expr(_wanted(percent)).alias("wanted")
+        sizes = _may_link(percent)
         if final:
             meet = x.join(y, F.expr(f"x.token = y.token and x.step = y.step and x.rep < y.rep and x.component <> y.component and {sizes} "
                                     "and (x.own = x.step or y.own = y.step)"))
         else:
-            hubs = labelled.groupBy("token", "step").agg(F.max_by(F.struct("rep", "n", "component", "matches", "length", "place"), F.struct("cost", -F.col("rep"))).alias("hub"))
+            hubs = labelled.groupBy("token", "step").agg(F.max_by(F.struct("rep", "n", "component", "matches", "length", "place", *bits), F.struct("cost", -F.col("rep"))).alias("hub"))
             hubs = hubs.select("token", "step", "hub.*")
             meet = hubs.alias("x").join(y, F.expr(f"x.token = y.token and x.step = y.step and x.rep <> y.rep and x.component <> y.component and {sizes}"))
         pairs = meet.select(F.expr("x.rep").alias("hub"), F.expr("y.rep").alias("member"), wanted)
