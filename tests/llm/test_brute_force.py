@@ -385,3 +385,29 @@ def test_chance_pairs_stop_inside_the_join(spark):
     truly = {(i, j) for j in range(60) for i in range(j) if len(set(prefixes[i]) & set(prefixes[j])) >= wanted}
     assert truly == {(i, i + 40) for i in range(20)}
     assert truly <= got and len(got) < 2 * len(truly)  # of 1,770 pairs
+
+
+def test_long_lines_of_a_template(spark, monkeypatch):
+    """The pairs that are tested grow with the lines of a family that are not similar, not with their square."""
+    r = random.Random(31)
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    head, tail = word(250), word(250)
+    family = [head + word(60) + tail for _ in range(300)]
+    planted = [(x := word(60), head + x + tail, head + x + tail[:-6] + word(6))[1:] for _ in range(40)]
+    lines = family + [line for pair in planted for line in pair]
+    r.shuffle(lines)
+    tested, write = [], line_dedup.stored
+
+    def counted(table, label="table"):
+        out = write(table, label)
+        tested.append(out.count() if label == "line-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    rows = [(i, line) for i, line in enumerate(lines)]
+    rows = rows + [(None, "null id: a line of its own"), (None, None), (0, "zero again, another text")]
+    left = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {x.text for x in left}
+    assert all((a in texts) != (b in texts) for a, b in planted) and len(left) == len(rows) - len(planted)
+    assert sum(x.doc_id is None for x in left) == 2
+    assert sum(tested) < 20 * len(lines)  # of 72,010
