@@ -259,6 +259,20 @@ def test_line_blocks_and_rounds(spark, monkeypatch):
     assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if a % 10 != b % 10]
 
 
+def test_minima_from_rows_of_several_shingles(spark):
+    """Each row hashes several shingles of a line, and the bands are those of all its shingles."""
+    lines = ["a", "short", "12345678", "123456789", "Twelve bytes", "  x" * 5, "é" * 9, "".join(map(str, range(50)))]
+    table = spark.createDataFrame([(i, i, line) for i, line in enumerate(lines)], "key long, key2 long, raw string")
+    rows = collections.Counter(r.key for r in line_dedup._shingle_rows(table).select("key").collect())
+    plain = [line.strip().lower().encode() for line in lines]
+    count = [max(1, len(b) - line_dedup.SHINGLE + 1) for b in plain]
+    assert rows == {i: -(-n // line_dedup.STRIDE) for i, n in enumerate(count)}
+    own = table.withColumn("h", F.explode(line_dedup._shingle_set(line_dedup.PLAIN)))
+    own = own.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{j}") for j, x in enumerate(line_dedup.SEEDS)])
+    own = own.select("key", F.array(*[F.xxhash64(F.lit(j), *[f"m{k}" for k in band]) for j, band in enumerate(line_dedup.BAND_MINIMA)]).alias("bands"))
+    assert {r.key: r.bands for r in line_dedup.with_bands(table).collect()} == {r.key: r.bands for r in own.collect()}
+
+
 def test_shingles_of_a_long_line(spark):
     """The work grows with the line: its plain form is made once, not again for each of its shingles."""
     n = 600_000
