@@ -288,3 +288,16 @@ def test_jaccard_pairs_counts_only_early_matches(spark, tmp_path):
         assert {(r.id_a, r.id_b) for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "least(la" in plan
+
+
+def test_jaccard_pairs_in_slices(spark, monkeypatch):
+    """A larger table is worked off in slices with bounded matches and carried words, and gives the same pairs."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.6)) % 40}" for _ in range(rnd.randint(1, 25)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {tuple(r) for r in similarity.jaccard_pairs(docs, 0.5).collect()}
+    written, write = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, label: written.append(label) or write(df, label))
+    monkeypatch.setattr(similarity, "WHOLE", 100)
+    assert {tuple(r) for r in similarity.jaccard_pairs(docs, 0.5).collect()} == whole and whole
+    assert written.count("prefix") == similarity.SLICES and written.count("candidates") >= similarity.SLICES and written.count("pairs") > 1
